@@ -68,3 +68,94 @@ def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 largest integer inner products of every fiftieth vector."""
+    from .mtree import exact_top_k
+
+    return exact_top_k(table(spark, sf_dir, "embeddings"), 5, F.col("vec_id") % 50 == 0)
+
+
+ORACLES["op10_top_k"] = """
+WITH v AS (
+  SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(CAST(a.q AS DOUBLE[]), CAST(b.q AS DOUBLE[])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+), r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+@query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; a fifth of the ids is held out of the labels."""
+    from .toxicity import toxicity
+
+    fold = lambda c: F.crc32(c.cast("string").cast("binary")) % 5 == 0
+    out = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~fold(F.col("doc_id")))
+    return out.select(
+        "doc_id",
+        F.coalesce(fold(F.col("doc_id")), F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        "evidence_ids",
+    )
+
+
+@query
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's URL."""
+    from .urls import judge_urls
+
+    return judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "template")
+
+
+ORACLES["op6_urls"] = r"""
+WITH r AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substring(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), h AS (
+  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r
+), u AS (
+  SELECT *, CASE
+    WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+    WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
+    WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule,
+    list_filter(string_split(path, '/'), lambda s: s <> '') AS parts FROM h
+), base AS (
+  SELECT *, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS ruled,
+    list_concat(list_transform(parts[1:6], lambda s: CASE WHEN regexp_matches(s, '^(?:[^0-9]*[0-9][^.]*|[0-9a-fA-F-]{16,}|[^.]{40,})(\.[A-Za-z0-9]{1,5})?$')
+      THEN '*' || regexp_extract(s, '(\.[A-Za-z0-9]{1,5})$', 1) ELSE s END), CASE WHEN len(parts) > 6 THEN ['**'] ELSE [] END) AS t0 FROM u
+), seen AS (
+  SELECT host, t0, count(*) AS n, count(ruled) AS l, count(*) FILTER (ruled = 'block') AS b FROM base GROUP BY ALL
+)""" + "".join(
+    f"""
+, s{i} AS (SELECT *, t0[{i}] AS seg FROM {f"(SELECT *, t0[1:0] AS t FROM seen)" if i == 1 else f"l{i - 1}"})
+, c{i} AS (SELECT host, t, seg, sum(n) AS n_seg FROM s{i} WHERE seg IS NOT NULL GROUP BY ALL)
+, w{i} AS (SELECT host, t, seg, count(*) OVER (PARTITION BY host, t) > 16 AND n_seg < 0.02 * sum(n_seg) OVER (PARTITION BY host, t) AS wild FROM c{i})
+, l{i} AS (SELECT s.host, s.t0, s.n, s.l, s.b, CASE WHEN s.seg IS NULL THEN s.t ELSE list_append(s.t, CASE WHEN w.wild THEN '*' ELSE s.seg END) END AS t
+   FROM s{i} s LEFT JOIN w{i} w ON s.host = w.host AND s.t = w.t AND s.seg = w.seg)"""
+    for i in range(1, 7)
+) + """
+, tree AS (SELECT host, t0, n, l, b, CASE WHEN len(t0) > 6 THEN list_append(t, '**') ELSE t END AS t FROM l6)
+, br AS (SELECT host, t, sum(l) AS l, sum(b) AS b, greatest(len(t) - CASE WHEN coalesce(t[-1], '') LIKE '*%' THEN 2 ELSE 1 END, 0) AS lv FROM tree GROUP BY ALL)
+, b2 AS (SELECT *, t[1:lv] AS above, t[lv + 2:] AS below FROM br)
+, b3 AS (SELECT *, lag(b) OVER o AS pb, lag(l) OVER o AS pl FROM b2 WINDOW o AS (PARTITION BY host, above, below ORDER BY CASE WHEN l > 0 THEN b / l END NULLS FIRST, t))
+, b4 AS (SELECT *, (b + pb + 1.0::DOUBLE) / (l + pl + 2.0::DOUBLE) AS mid, abs((b + 1.0::DOUBLE) / (l + 2.0::DOUBLE) - (pb + 1.0::DOUBLE) / (pl + 2.0::DOUBLE)) AS d FROM b3)
+, b5 AS (SELECT *, CASE WHEN pl IS NULL THEN 0 ELSE CAST(d / sqrt(mid * (1 - mid) * (1 / (l + 2.0::DOUBLE) + 1 / (pl + 2.0::DOUBLE))) > 1.96 AS INT) END AS new FROM b4)
+, b6 AS (SELECT *, sum(new) OVER (PARTITION BY host, above, below ORDER BY CASE WHEN l > 0 THEN b / l END NULLS FIRST, t) AS merged FROM b5)
+, b7 AS (SELECT *, sum(l) OVER m AS ml, sum(b) OVER m AS mb, sum(l) OVER (PARTITION BY t) AS tl, sum(b) OVER (PARTITION BY t) AS tb,
+   sum(l) OVER () AS al, sum(b) OVER () AS ab FROM b6 WINDOW m AS (PARTITION BY host, above, below, merged))
+, v AS (SELECT host, t, CASE WHEN (mb + 4.0::DOUBLE * ((tb + 4.0::DOUBLE * (ab / greatest(al, 1))) / (tl + 4.0::DOUBLE))) / (ml + 4.0::DOUBLE) >= 0.5 THEN 'block' ELSE 'allow' END AS said FROM b7)
+SELECT base.page_id, base.host, base.path, base.rule, coalesce(base.ruled, v.said) AS verdict, '/' || array_to_string(tree.t, '/') AS template
+FROM base JOIN tree ON base.host = tree.host AND base.t0 = tree.t0 JOIN v ON tree.host = v.host AND tree.t = v.t
+"""
