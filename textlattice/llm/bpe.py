@@ -24,12 +24,13 @@ from tokenizers import Tokenizer
 from .common import FLUSH_BYTES
 
 INF = 1 << 60
-#: A chunk of printable ASCII needs neither normalisation nor byte symbols; its pre-tokens are those of the file's pattern.
-PLAIN, PLAIN_PIECES = re.compile(r"[!-~]+"), re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+#: A chunk of printable ASCII and Latin-1 letters needs no normalisation but lower case; its pre-tokens are those of the file's pattern.
+PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+PLAIN_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 #: Controls that Python counts as white space and the tokenizer does not.
 ODD, BLANKS = re.compile("[\x1c-\x1f]"), re.compile("[ \t-\r]+")
 #: Bounds of a worker's memory: entries of its caches, and the longest text piece that is kept.
-CACHE, PAIRS, PIECE = 400_000, 1_000_000, 48
+CACHE, PAIRS, PIECE = 300_000, 1_000_000, 48
 
 
 class PrefixBpe:
@@ -70,7 +71,14 @@ class PrefixBpe:
             if self._whole(i):
                 self.automaton.add_word(s, (i, len(s)))
         self.automaton.make_automaton()
-        self.cache: dict[str, tuple[array, str]] = {}
+        symbol = lambda c: chr(0x10000 + self.vocab[c])
+        #: Plain characters and the file's byte symbols, to symbols of the automaton; of the last one, with the end-of-word mark.
+        self.inner, self.final = {}, {}
+        for i in (*range(33, 127), *range(0xC0, 0x100)):
+            said = "".join([p for p, _ in self.pieces.pre_tokenize_str(chr(i))])
+            self.inner[i] = "".join(map(symbol, said))
+            self.final[chr(i)] = self.inner[i][:-1] + symbol(said[-1] + mark)
+        self.cache, self.older = {}, {}
         self.known: dict[str, list[int]] = {}
 
     def _whole(self, token: int) -> bool:
@@ -119,12 +127,12 @@ class PrefixBpe:
             self.fits[key] = ok
         return ok
 
-    def encode_symbols(self, symbols: list[int]) -> list[int]:
-        """Ids of one pre-token, given as ids of single symbols."""
+    def encode_symbols(self, symbols: str) -> list[int]:
+        """Ids of one pre-token, given as a string of the automaton's symbols."""
         n = len(symbols)
         last, back = [-1] * (n + 1), [0] * (n + 1)
         fits, compatible = self.fits, self.compatible
-        for end, (token, size) in self.automaton.iter("".join([chr(0x10000 + s) for s in symbols])):
+        for end, (token, size) in self.automaton.iter(symbols):
             end += 1
             if last[end] >= 0:
                 continue
@@ -141,29 +149,27 @@ class PrefixBpe:
             at = back[at]
         return out[::-1]
 
-    def _piece(self, piece: str) -> list[int]:
-        ids = self.known.get(piece)
-        if ids is None:
-            ids = self.encode_symbols([self.vocab[c] for c in piece[:-1]] + [self.vocab[piece[-1] + self.mark]])
-            if len(piece) <= PIECE:
-                if len(self.known) >= CACHE:
-                    self.known.clear()
-                self.known[piece] = ids
-        return ids
-
     def _fresh(self, chunk: str) -> tuple[array, str]:
         ids: list[int] = []
-        at = 0
+        at, known = 0, self.known
         spans = [(m.start(), m.end()) for m in self.special.finditer(chunk)] if self.special else []
         for a, b in [*spans, (len(chunk), len(chunk))]:
             if a > at:
                 part = chunk[at:a]
                 if PLAIN.fullmatch(part):
-                    found = PLAIN_PIECES.findall(part.lower())
+                    for piece in PLAIN_PIECES.findall(part.lower()):
+                        found = known.get(piece)
+                        if found is None:
+                            found = self.encode_symbols(piece[:-1].translate(self.inner) + self.final[piece[-1]])
+                            if len(piece) <= PIECE:
+                                if len(known) >= CACHE:
+                                    known.clear()
+                                known[piece] = found
+                        ids += found
                 else:
-                    found = [piece for piece, _ in self.pieces.pre_tokenize_str(self.normal.normalize_str(part))]
-                for piece in found:
-                    ids += self._piece(piece)
+                    for piece, _ in self.pieces.pre_tokenize_str(self.normal.normalize_str(part)):
+                        symbols = [self.vocab[c] for c in piece[:-1]] + [self.vocab[piece[-1] + self.mark]]
+                        ids += self.encode_symbols("".join([chr(0x10000 + x) for x in symbols]))
             if b > a:
                 ids.append(self.added[chunk[a:b]])
             at = b
@@ -171,14 +177,14 @@ class PrefixBpe:
 
     def encode(self, text: str) -> tuple[array, str]:
         """Ids and their decoded text.  No pre-token crosses white space, so white-space chunks are kept by text."""
-        ids, said, cache = array("i"), [], self.cache
+        ids, said, cache, older = array("i"), [], self.cache, self.older
         for chunk in text.split() if not ODD.search(text) else filter(None, BLANKS.split(text)):
             hit = cache.get(chunk)
             if hit is None:
-                hit = self._fresh(chunk)
+                hit = older.get(chunk) or self._fresh(chunk)
                 if len(chunk) <= PIECE:
-                    if len(cache) >= CACHE:
-                        cache.clear()
+                    if len(cache) >= CACHE:  # what was used since the last time stays
+                        self.cache, self.older = cache, older = {}, cache
                     cache[chunk] = hit
             if hit[0]:
                 ids.extend(hit[0])
