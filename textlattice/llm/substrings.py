@@ -19,6 +19,7 @@ that stands in every document costs is one string a batch and bucket, not one a
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,7 @@ from .common import scratch, stored, tasks
 
 GRAM = 20
 #: Bytes of text that are worked on at once, and of input for each bucket.
-BATCH_BYTES, BUCKET_BYTES = 2 << 20, 32 << 20
+BATCH_BYTES, BUCKET_BYTES = 2 << 20, 2 << 20
 #: Most windows of a run.  Longer runs (periodic text) are cut.
 RUN = 256
 #: Stands for "several documents of this batch".
@@ -110,8 +111,8 @@ def _cut(starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array(a), np.array(b)
 
 
-def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
-    """Rows of about BATCH_BYTES: their records without text, all bytes, the documents' ends."""
+def _batches(batches: Iterator[pa.RecordBatch], use=lambda row: True) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """Rows under ``use``, about BATCH_BYTES at a time: their records without text, all bytes, the documents' ends."""
     keep, parts, size = [], [], 0
 
     def done():
@@ -120,6 +121,8 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarr
     for batch in batches:
         for i in range(0, batch.num_rows, 64):
             for row in batch.slice(i, 64).to_pylist():
+                if not use(row):
+                    continue
                 text = (row.pop("text") or "").encode("utf-8", "replace")
                 keep.append(row)
                 parts.append(text)
@@ -169,7 +172,11 @@ LOW = np.uint64((1 << 40) - 1)
 
 
 def _send_minimizers(width: int, n_buckets: int):
-    """Kind 0: a bucket's (hash, document of the batch); 1: pairs known to repeat within the batch; 2: the batch's documents."""
+    """Kind 0: a bucket's (hash, document of the batch); 1: pairs known to repeat within the batch; 2: the batch's documents.
+
+    Kinds 1 and 2 take any bucket and pass through it.  A batch is named by its task and turn,
+    which a repeated task gives again.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, turn = TaskContext.get().partitionId(), 0
@@ -179,6 +186,7 @@ def _send_minimizers(width: int, n_buckets: int):
             if not len(least):
                 continue
             name, out = f"{task}-{turn}", []
+            through = zlib.crc32(name.encode()) % n_buckets
             order = np.lexsort((doc, least))
             least, doc = least[order], doc[order]
             new = np.r_[True, (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])]
@@ -187,12 +195,14 @@ def _send_minimizers(width: int, n_buckets: int):
             group = np.cumsum(head) - 1
             many = np.bincount(group)[group] > 1
             if many.any():
-                out.append((1, -1, name, _pack(doc[many], least[many] & LOW)))
+                out.append((1, through, name, _pack(doc[many], least[many] & LOW)))
             sent, who = least[head], np.where(many[head], MANY, doc[head])
+            low = sent & LOW
             for bucket, part in _by_bucket((sent >> np.uint64(40)) % np.uint64(n_buckets)):
-                out.append((0, bucket, name, _pack(who[part], sent[part])))
+                part = part[np.argsort(low[part])]
+                out.append((0, bucket, name, _pack(who[part], low[part])))
             ids = np.array([(r["id"], r["tag"]) for r in keep], np.int64)
-            out.append((2, -1, name, _pack(ids[:, 0].copy(), ids[:, 1].copy())))
+            out.append((2, through, name, _pack(ids[:, 0].copy(), ids[:, 1].copy())))
             yield _table(out, SENT)
 
     return run
@@ -200,10 +210,12 @@ def _send_minimizers(width: int, n_buckets: int):
 
 def _repeated(group: pa.Table) -> pa.Table:
     """For a bucket: each batch's documents with the minimizers that another document has too."""
-    names, blobs = group.column("batch").to_pylist(), group.column("blob").to_pylist()
-    parts = [_unpack(b, "u4", "u8") for b in blobs]
+    every = list(zip(*(group.column(n).to_pylist() for n in ("kind", "batch", "blob"))))
+    through = [(name, kind, blob) for kind, name, blob in every if kind]
+    names = [name for kind, name, _ in every if not kind]
+    parts = [_unpack(blob, "u4", "u8") for kind, _, blob in every if not kind]
     if not parts:
-        return pa.Table.from_batches([], FLAGS)
+        return pa.Table.from_batches([_table(through, FLAGS)])
     doc = np.concatenate([p[0] for p in parts])
     least = np.concatenate([p[1] for p in parts])
     src = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
@@ -212,8 +224,8 @@ def _repeated(group: pa.Table) -> pa.Table:
     group_of = np.cumsum(np.r_[True, least[1:] != least[:-1]]) - 1
     twice = (np.bincount(group_of, weights=np.where(doc == MANY, 2, 1))[group_of] > 1) & (doc != MANY)
     doc, least, src = doc[twice], least[twice], src[twice]
-    out = [(names[s], 1, _pack(doc[part], least[part] & LOW)) for s, part in _by_bucket(src)]
-    return pa.Table.from_batches([_table(out, FLAGS)])
+    out = [(names[s], 1, _pack(doc[part], least[part])) for s, part in _by_bucket(src)]
+    return pa.Table.from_batches([_table(through + out, FLAGS)])
 
 
 def _to_documents(group: pa.Table) -> pa.Table:
@@ -233,10 +245,10 @@ def _spans(starts: np.ndarray, size: np.ndarray, width: int) -> bytes:
 
 
 def _cut_strings(width: int, n_buckets: int):
-    """Kind 0: a bucket's strings, each with the least document of the batch that has it; 1: spans settled within the batch."""
+    """Kind 0: a bucket's strings, each with the least document of the batch that has it; 1: spans settled within the batch, which pass through any bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keep, data, ends in _batches(batches):
+        for keep, data, ends in _batches(batches, lambda row: row["wanted"]):
             starts, size, least, doc = runs(data, ends, width)
             if not len(starts):
                 continue
@@ -244,7 +256,7 @@ def _cut_strings(width: int, n_buckets: int):
             edge = np.searchsorted(doc, np.arange(len(keep) + 1))
             for i, row in enumerate(keep):
                 a, b = edge[i], edge[i + 1]
-                if b > a:
+                if b > a and row["wanted"]:
                     good[a:b] = np.isin(low[a:b], np.concatenate([np.frombuffer(x, np.uint64) for x in row["wanted"]]))
             starts, size, least, doc = starts[good], size[good], least[good], doc[good]
             ids = np.array([r["id"] for r in keep], np.int64)
@@ -259,7 +271,7 @@ def _cut_strings(width: int, n_buckets: int):
             local, out = mine > low_id, []
             for d, part in _by_bucket(doc[local]):
                 s = starts[local][part] - begin[d]
-                out.append((1, -1, int(ids[d]), keep[d]["tag"], _spans(s, size[local][part], width)))
+                out.append((1, abs(keep[d]["tag"]) % n_buckets, int(ids[d]), keep[d]["tag"], _spans(s, size[local][part], width)))
             far = np.flatnonzero(~local)
             tags = np.array([r["tag"] for r in keep], np.int64)
             for bucket, part in _by_bucket(((least[far] >> np.uint64(40)) % np.uint64(n_buckets)).astype(np.int64)):
@@ -276,13 +288,16 @@ def _settle(width: int):
     """For a bucket: the windows of each string that a document with a smaller id has, as spans."""
 
     def run(group: pa.Table) -> pa.Table:
-        heads, texts = [], []
-        for blob in group.column("blob").to_pylist():
+        heads, texts, through = [], [], []
+        for kind, id_, tag, blob in zip(*(group.column(c).to_pylist() for c in ("kind", "id", "tag", "blob"))):
+            if kind:
+                through.append((id_, tag, blob))
+                continue
             n = int.from_bytes(blob[:4], "little")
             heads.append(_unpack(blob[4 : 4 + n], "i8", "i8", "i8", "i4"))
             texts.append(zstandard.ZstdDecompressor().decompress(blob[4 + n :]))
         if not heads:
-            return pa.Table.from_batches([], SPANS)
+            return pa.Table.from_batches([_table(through, SPANS)])
         ids, tags, starts, size = (np.concatenate([h[k] for h in heads]) for k in range(4))
         size = size.astype(np.int64)
         data = np.frombuffer(b"".join(texts), np.uint8)
@@ -310,7 +325,7 @@ def _settle(width: int):
             cut = np.flatnonzero((np.diff(key[order], axis=0) != 0).any(1)) + 1
             spans = np.stack([s, t], 1)
             out = [(int(key[p[0], 0]), int(key[p[0], 1]), spans[p].tobytes()) for p in np.split(order, cut)]
-        return pa.Table.from_batches([_table(out, SPANS)])
+        return pa.Table.from_batches([_table(through + out, SPANS)])
 
     return run
 
@@ -359,14 +374,13 @@ def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", tex
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     n_buckets = max(tasks(spark), min(size, 1 << 50) // BUCKET_BYTES)
     ddl = lambda s: T.StructType.fromDDL(", ".join(f"{f.name} {'binary' if pa.types.is_binary(f.type) else 'string' if pa.types.is_string(f.type) else 'int' if f.type == pa.int32() else 'long'}" for f in s))
-    sent = stored(usable.mapInArrow(_send_minimizers(width, n_buckets), ddl(SENT)), folder, "minimizers")
-    flags = sent.filter("kind = 0").groupBy("bucket").applyInArrow(_repeated, ddl(FLAGS))
-    every = flags.unionByName(sent.filter("kind > 0").select("batch", "kind", "blob"))
-    wanted = every.groupBy("batch").applyInArrow(_to_documents, ddl(WANTED)).groupBy("id", "tag").agg(F.collect_list("wanted").alias("wanted"))
+    sent = usable.mapInArrow(_send_minimizers(width, n_buckets), ddl(SENT))
+    flags = sent.groupBy("bucket").applyInArrow(_repeated, ddl(FLAGS))
+    wanted = flags.groupBy("batch").applyInArrow(_to_documents, ddl(WANTED)).groupBy("id", "tag").agg(F.collect_list("wanted").alias("wanted"))
     wanted = stored(wanted, folder, "wanted")
-    cut = stored(usable.join(wanted, ["id", "tag"]).select("id", "tag", "text", "wanted").mapInArrow(_cut_strings(width, n_buckets), ddl(CUT)), folder, "strings")
-    settled = cut.filter("kind = 0").groupBy("bucket").applyInArrow(_settle(width), ddl(SPANS))
-    spans = settled.unionByName(cut.filter("kind = 1").select("id", "tag", "blob"))
+    # Outer joins on both sides: the shuffled documents are then one exchange, used twice.
+    cut = all_rows.join(wanted, ["id", "tag"], "left").select("id", "tag", "text", "wanted").mapInArrow(_cut_strings(width, n_buckets), ddl(CUT))
+    spans = cut.groupBy("bucket").applyInArrow(_settle(width), ddl(SPANS))
     spans = spans.groupBy("id", "tag").agg(F.collect_list("blob").alias("spans"))
     out = all_rows.join(spans, ["id", "tag"], "left").select("id", "text", "spans")
     return out.mapInArrow(_remove, "id long, spans array<struct<start: long, end: long>>, kept binary").withColumnRenamed("id", id_col)
