@@ -42,6 +42,6 @@ def test_components_equal_brute_force(spark):
     rows += [(1000, None), (1001, ""), (1002, "  \n"), (1003, "Ab\x1ccd e"), (1003, "Ab\x1ccd e"), (None, "solitary text"), (1005, "x y z " * 20000)]
     df = spark.createDataFrame([(k, t, 1) for k, t in rows], "doc_id long, text string, component int")
     for d in (4, 3):
-        got = sorted(((r.doc_id, r.fp % (1 << 64), r[2]) for r in near_duplicates(df, d, 4).collect()), key=str)
+        got = sorted(((r.doc_id, r.fp % (1 << 64), r[3]) for r in near_duplicates(df, d, 4).collect()), key=str)
         assert got == brute(rows, d, 4)
     assert near_duplicates(df.limit(0)).collect() == []

@@ -74,3 +74,16 @@ def components(edges: DataFrame, folder: str, tag: str) -> DataFrame:
         if done:
             forget(spark, folder, f"{tag}-edges")
             return labels
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 500_000) -> DataFrame:
+    """``docs`` without the rows whose id and text hash are in ``gone(id, tag)``; null ids match null ids.
+
+    ``gone`` is broadcast if it has been counted to have few rows (16 bytes each); beyond that the
+    documents are shuffled by both keys.
+    """
+    gone = gone.select(F.coalesce(F.col("id").cast("long"), F.lit(-(1 << 63))).alias("_id"), F.col("tag").alias("_tag")).distinct()
+    if gone.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        gone = F.broadcast(gone)
+    keyed = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), "_tag": F.xxhash64(text_col)})
+    return keyed.join(gone, ["_id", "_tag"], "left_anti").drop("_id", "_tag")

@@ -159,3 +159,76 @@ WITH r AS (
 SELECT base.page_id, base.host, base.path, base.rule, coalesce(base.ruled, v.said) AS verdict, '/' || array_to_string(tree.t, '/') AS template
 FROM base JOIN tree ON base.host = tree.host AND base.t0 = tree.t0 JOIN v ON tree.host = v.host AND tree.t = v.t
 """
+
+
+@query
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in every document, with coverage and span."""
+    from .licenses import scan_licenses
+
+    out = scan_licenses(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.size("matches").cast("long").alias("n_matches"), "matches")
+
+
+@query
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What line dedup leaves of every document."""
+    from .lines import line_dedup
+
+    docs = table(spark, sf_dir, "documents")
+    out = line_dedup(docs.select("doc_id", "text").withColumn("n_lines", F.size(F.split("text", "\n")).cast("long")))
+    return out.select(
+        "doc_id", "n_lines", F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256")
+    )
+
+
+@query
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cell weight, probability and draw of every document."""
+    from .mixing import mix
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    out = mix(docs)
+    return out.select(
+        "doc_id", "source", "lang", F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"),
+        F.round("_weight", 6).alias("weight"), F.round("_p", 6).alias("p"), F.col("_sampled").alias("sampled"),
+    )
+
+
+def _rake_sql() -> str:
+    from .mixing import MARGINS, ROUNDS
+
+    out, last = "", "c1"
+    for r in range(ROUNDS):
+        for m in MARGINS:
+            name = f"k{r}{m[0]}"
+            out += f", {name} AS MATERIALIZED (SELECT * REPLACE (mass * to_{m} / sum(mass) OVER (PARTITION BY {m}) AS mass) FROM {last})\n"
+            last = name
+    return out + f", fit AS (SELECT * FROM {last})\n"
+
+
+MIX_SQL = """
+docs AS (SELECT *, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS words FROM {source})
+, lettered AS (SELECT *, array_to_string(list_transform(list_filter(words, lambda w: length(w) >= 8), lambda w: md5(w)[1]), '') AS letters FROM docs)
+, named AS (SELECT * EXCLUDE (words, letters), coalesce(source, '') AS s_, coalesce(lang, '') AS l_, CAST(len(words) AS BIGINT) AS n_tokens,
+  CASE WHEN letters = '' THEN 'none' ELSE list_sort([{{'n': length(letters) - length(replace(letters, x, '')), 'i': -CAST(('0x' || x) AS INT), 't': x}}
+    FOR x IN ['0','1','2','3','4','5','6','7','8','9','a','b','c','d','e','f']], 'DESC')[1].t END AS topic FROM lettered)
+, cells AS (SELECT s_ AS source, l_ AS lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS tokens FROM named GROUP BY ALL HAVING sum(n_tokens) > 0)
+, c0 AS (SELECT *, tokens / sum(tokens) OVER () AS mass FROM cells)
+, c1 AS MATERIALIZED (SELECT source, lang, topic, tokens, mass,
+   sqrt(ms) / (SELECT sum(sqrt(x)) FROM (SELECT sum(mass) AS x FROM c0 GROUP BY source)) AS to_source,
+   sqrt(ml) / (SELECT sum(sqrt(x)) FROM (SELECT sum(mass) AS x FROM c0 GROUP BY lang)) AS to_lang,
+   sqrt(mt) / (SELECT sum(sqrt(x)) FROM (SELECT sum(mass) AS x FROM c0 GROUP BY topic)) AS to_topic
+   FROM (SELECT *, sum(mass) OVER (PARTITION BY source) AS ms, sum(mass) OVER (PARTITION BY lang) AS ml, sum(mass) OVER (PARTITION BY topic) AS mt FROM c0))
+{rake}
+, weighed AS (SELECT *, mass / (tokens / sum(tokens) OVER ()) AS weight FROM fit)
+, ordered AS (SELECT *, (0.5 * sum(tokens) OVER () - coalesce(sum(tokens) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+   / sum(weight * tokens) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS c FROM weighed WINDOW o AS (ORDER BY weight DESC, source, lang, topic))
+, scaled AS (SELECT *, least(1.0, weight * first_value(c) OVER (ORDER BY CASE WHEN c * weight <= 1 THEN 0 ELSE 1 END, weight DESC, c DESC)) AS p FROM ordered)
+, drawn AS (SELECT n.*, coalesce(k.weight, 1.0) AS weight, coalesce(k.p, 1.0) AS p,
+   CAST(('0x' || md5(concat_ws(':', CAST(n.doc_id AS VARCHAR), '17'))[1:8]) AS BIGINT) / 4294967296.0 < coalesce(k.p, 1.0) AS sampled
+   FROM named n LEFT JOIN scaled k ON n.s_ = k.source AND n.l_ = k.lang AND n.topic = k.topic)
+"""
+ORACLES["op3_mixing"] = "WITH " + MIX_SQL.format(source="documents", rake=_rake_sql()) + (
+    "SELECT doc_id, source, lang, topic, n_tokens, round(weight, 6) AS weight, round(p, 6) AS p, sampled FROM drawn"
+)

@@ -48,16 +48,16 @@ def fingerprint(text: str | None, width: int) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """``(id, fp)`` of every row, ``fp`` a signed long; no shuffle."""
+    """``(id, tag, fp)`` of every row, ``tag`` a hash of the text, ``fp`` a signed long; no shuffle."""
     kind = docs.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [fingerprint(text, width) for (text,) in rows([batch], "text")]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int64())], names=["id", "tag", "fp"])
 
-    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return narrow.mapInArrow(run, f"id {kind.simpleString()}, fp long")
+    narrow = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tag"), F.col(text_col).alias("text"))
+    return narrow.mapInArrow(run, f"id {kind.simpleString()}, tag long, fp long")
 
 
 def variants(fp, d: int):
@@ -74,7 +74,7 @@ def variants(fp, d: int):
 
 
 def near_duplicates(docs: DataFrame, distance: int = 4, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, fp, component)`` of every row: the smallest id reachable over links of at most ``distance`` bits.
+    """``(id, tag, fp, component)`` of every row: the smallest id reachable over links of at most ``distance`` bits.
 
     Within a variant's bucket, rows first link to the fingerprint with most documents and to
     their predecessor (one sort, linear rows).  The equality join then only returns pairs whose
@@ -112,4 +112,4 @@ def near_duplicates(docs: DataFrame, distance: int = 4, width: int = 4, id_col:
     )
     least = whole.groupBy("root").agg(F.min("first").alias("component"))
     named = stored(whole.select("fp", "root").join(least, "root").select("fp", "component"), folder, "named")
-    return fps.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component")
+    return fps.join(named, "fp").select(F.col("id").alias(id_col), "tag", "fp", "component")

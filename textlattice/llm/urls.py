@@ -92,7 +92,7 @@ def judge_urls(pages: DataFrame, rules=RULES, url_col: str = "url", keep: tuple[
     every = branch.agg(F.sum("l").alias("al"), F.sum("b").alias("ab"))
     level = F.greatest(F.size("t") - F.when(F.element_at(F.concat(F.array(F.lit("")), "t"), -1).startswith("*"), 2).otherwise(1), F.lit(0))
     branch = branch.select("*", F.slice("t", F.lit(1), level).alias("above"), F.slice("t", level + 2, F.lit(DEPTH + 1)).alias("below"))
-    order = Window.partitionBy("host", "above", "below").orderBy(F.col("b") / F.col("l"), "t")
+    order = Window.partitionBy("host", "above", "below").orderBy(F.try_divide("b", "l"), "t")
     p = lambda b, n: (b + 1.0) / (n + 2.0)
     last_b, last_l = F.lag("b").over(order), F.lag("l").over(order)
     mid = p(F.col("b") + F.col("pb"), F.col("l") + F.col("pl"))
