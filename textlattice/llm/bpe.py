@@ -14,6 +14,7 @@ import json
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import pyarrow as pa
@@ -25,8 +26,8 @@ from .common import FLUSH_BYTES
 
 INF = 1 << 60
 #: A chunk of printable ASCII and Latin-1 letters needs no normalisation but lower case; its pre-tokens are those of the file's pattern.
-PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
-PLAIN_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+PLAIN = re.compile(r"[\t-\r !-~À-ÖØ-öø-ÿ]*")
+PLAIN_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
 #: Controls that Python counts as white space and the tokenizer does not.
 ODD, BLANKS = re.compile("[\x1c-\x1f]"), re.compile("[ \t-\r]+")
 #: Bounds of a worker's memory: entries of its caches, and the longest text piece that is kept.
@@ -46,6 +47,7 @@ class PrefixBpe:
         self.special = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         front = Tokenizer.from_str(spec)
         self.normal, self.pieces = front.normalizer, front.pre_tokenizer
+        self.spines: tuple[dict, dict] = {}, {}
         self.rank: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int, int]] = {}
         merged = []
@@ -78,8 +80,8 @@ class PrefixBpe:
             said = "".join([p for p, _ in self.pieces.pre_tokenize_str(chr(i))])
             self.inner[i] = "".join(map(symbol, said))
             self.final[chr(i)] = self.inner[i][:-1] + symbol(said[-1] + mark)
-        self.cache, self.older = {}, {}
-        self.known: dict[str, list[int]] = {}
+        #: Chunks of white-space parted text, and plain pieces, to their ids and decoded text; the older half of each.
+        self.chunks, self.old_chunks, self.pieces_known, self.old_pieces = {}, {}, {}, {}
 
     def _whole(self, token: int) -> bool:
         """Whether the token's own text is encoded as this token: its two parts merge, and nothing else comes first."""
@@ -95,13 +97,12 @@ class PrefixBpe:
 
     def _spine(self, token: int, side: int) -> list[tuple[int, int]]:
         """The pieces of a token along its border, from symbol to token, each with the rank of the merge that ends it."""
-        out, after = [], INF
-        while True:
-            out.append((token, after))
+        known = self.spines[side].get(token)
+        if known is None:
             part = self.parts.get(token)
-            if part is None:
-                return out[::-1]
-            token, after = part[side], part[2]
+            known = [(token, INF)] if part is None else [*self._spine(part[side], side)[:-1], (part[side], part[2]), (token, INF)]
+            self.spines[side][token] = known
+        return known
 
     def compatible(self, left: int, right: int, final: int = -1) -> bool:
         """No merge crosses the border of the two tokens (but the one of rank ``final``, once both are complete)."""
@@ -149,47 +150,58 @@ class PrefixBpe:
             at = back[at]
         return out[::-1]
 
+    def _said(self, ids: list[int]) -> tuple[array, str]:
+        return array("i", ids), " ".join([self.text_of[i] for i in ids])
+
+    def _plain(self, text: str, hits: list[tuple[array, str]]) -> None:
+        """Adds the ids and decoded text of each piece of a plain text."""
+        known, older = self.pieces_known, self.old_pieces
+        for piece in PLAIN_PIECES.findall(text.lower()):
+            hit = known.get(piece)
+            if hit is None:
+                hit = older.get(piece) or self._said(self.encode_symbols(piece[:-1].translate(self.inner) + self.final[piece[-1]]))
+                if len(piece) <= PIECE:
+                    if len(known) >= CACHE:  # what was used since the last time stays
+                        self.pieces_known, self.old_pieces = known, older = {}, known
+                    known[piece] = hit
+            hits.append(hit)
+
     def _fresh(self, chunk: str) -> tuple[array, str]:
         ids: list[int] = []
-        at, known = 0, self.known
+        at = 0
         spans = [(m.start(), m.end()) for m in self.special.finditer(chunk)] if self.special else []
         for a, b in [*spans, (len(chunk), len(chunk))]:
             if a > at:
-                part = chunk[at:a]
-                if PLAIN.fullmatch(part):
-                    for piece in PLAIN_PIECES.findall(part.lower()):
-                        found = known.get(piece)
-                        if found is None:
-                            found = self.encode_symbols(piece[:-1].translate(self.inner) + self.final[piece[-1]])
-                            if len(piece) <= PIECE:
-                                if len(known) >= CACHE:
-                                    known.clear()
-                                known[piece] = found
-                        ids += found
-                else:
-                    for piece, _ in self.pieces.pre_tokenize_str(self.normal.normalize_str(part)):
-                        symbols = [self.vocab[c] for c in piece[:-1]] + [self.vocab[piece[-1] + self.mark]]
-                        ids += self.encode_symbols("".join([chr(0x10000 + x) for x in symbols]))
+                for piece, _ in self.pieces.pre_tokenize_str(self.normal.normalize_str(chunk[at:a])):
+                    symbols = [self.vocab[c] for c in piece[:-1]] + [self.vocab[piece[-1] + self.mark]]
+                    ids += self.encode_symbols("".join([chr(0x10000 + x) for x in symbols]))
             if b > a:
                 ids.append(self.added[chunk[a:b]])
             at = b
-        return array("i", ids), " ".join([self.text_of[i] for i in ids])
+        return self._said(ids)
 
     def encode(self, text: str) -> tuple[array, str]:
-        """Ids and their decoded text.  No pre-token crosses white space, so white-space chunks are kept by text."""
-        ids, said, cache, older = array("i"), [], self.cache, self.older
-        for chunk in text.split() if not ODD.search(text) else filter(None, BLANKS.split(text)):
-            hit = cache.get(chunk)
-            if hit is None:
-                hit = older.get(chunk) or self._fresh(chunk)
-                if len(chunk) <= PIECE:
-                    if len(cache) >= CACHE:  # what was used since the last time stays
-                        self.cache, self.older = cache, older = {}, cache
-                    cache[chunk] = hit
-            if hit[0]:
-                ids.extend(hit[0])
-                said.append(hit[1])
-        return ids, " ".join(said)
+        """Ids and their decoded text.
+
+        No pre-token crosses white space, so white-space chunks are kept by text; a text of plain
+        characters without added tokens goes by its pre-tokens at once.
+        """
+        hits: list[tuple[array, str]] = []
+        if PLAIN.fullmatch(text) and not (self.special and self.special.search(text)):
+            self._plain(text, hits)
+        else:
+            known, older = self.chunks, self.old_chunks
+            for chunk in text.split() if not ODD.search(text) else filter(None, BLANKS.split(text)):
+                hit = known.get(chunk)
+                if hit is None:
+                    hit = older.get(chunk) or self._fresh(chunk)
+                    if len(chunk) <= PIECE:
+                        if len(known) >= CACHE:
+                            self.chunks, self.old_chunks = known, older = {}, known
+                        known[chunk] = hit
+                if hit[0]:
+                    hits.append(hit)
+        return array("i", chain.from_iterable([h[0] for h in hits])), " ".join([h[1] for h in hits])
 
     def decode(self, ids) -> str:
         """The tokens joined by a space: what a tokenizer file without a decoder gives."""
