@@ -83,7 +83,7 @@ def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col:
     documents are shuffled by both keys.
     """
     gone = gone.select(F.coalesce(F.col("id").cast("long"), F.lit(-(1 << 63))).alias("_id"), F.col("tag").alias("_tag")).distinct()
-    if gone.limit(broadcast_rows + 1).count() <= broadcast_rows:
+    if gone.count() <= broadcast_rows:
         gone = F.broadcast(gone)
     keyed = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), "_tag": F.xxhash64(text_col)})
     return keyed.join(gone, ["_id", "_tag"], "left_anti").drop("_id", "_tag")

@@ -92,7 +92,7 @@ def mix(docs: DataFrame, share: float = SHARE, seed: int = 17, targets=None, id_
     cells = named.groupBy(F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic")).agg(F.sum("_tokens").alias("tokens"))
     cells = stored(cells, folder, "cells")
     cells = stored(probabilities(cells, share, targets=targets).select("source", "lang", "topic", "weight", "p"), folder, "p").toDF("_source", "_lang", "_topic", "_weight", "_p")
-    if cells.limit(broadcast_cells + 1).count() <= broadcast_cells:
+    if cells.count() <= broadcast_cells:
         joined = named.join(F.broadcast(cells), ["_source", "_lang", "_topic"], "left")
     else:
         salted = cells.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
