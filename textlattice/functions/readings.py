@@ -82,7 +82,7 @@ def aliases(readings: Column, surface: Column, profile: str = "universal") -> Co
             lambda a: r.withField("upos", a["upos"]).withField("features", a["features"]).withField("morphemes", F.concat(F.array(head(a)), rest))
             .withField("source", F.lit("rule")).withField("score", F.lit(None).cast("double")),
         )
-        return F.coalesce(made, F.array().cast(f"array<{READING.simpleString()}>"))
+        return F.coalesce(made, F.array().cast(f"array<{READING}>"))
 
     return F.flatten(F.transform(readings, views))
 

@@ -108,28 +108,26 @@ def _boundaries(text: str) -> tuple[str, list[int]]:
     return normal, out
 
 
-@F.pandas_udf("nfc string, boundaries array<int>")
-def _nfc(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+def _nfc_frames(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for s in batches:
         found = [(None, None) if x is None else _boundaries(x) for x in s]
         yield pd.DataFrame({"nfc": [n for n, _ in found], "boundaries": [b for _, b in found]})
 
 
-@F.pandas_udf("string")
-def _nfc_text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _nfc_series(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in batches:
         yield s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
 
 def nfc_with_boundaries(x: Column) -> Column:
     """Struct (nfc, boundaries)."""
-    return _nfc(x)
+    return F.pandas_udf(_nfc_frames, "nfc string, boundaries array<int>")(x)
 
 
 def nfc(x: Column) -> Column:
     """Composed text; rows of plain Latin skip nothing but the change (the UDF sees null for them)."""
     plain = x.rlike(COMPOSED)
-    return F.coalesce(F.when(plain, x), _nfc_text(F.when(~plain, x)))
+    return F.coalesce(F.when(plain, x), F.pandas_udf(_nfc_series, "string")(F.when(~plain, x)))
 
 
 def alignment_key(x: Column) -> Column:

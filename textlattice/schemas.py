@@ -1,25 +1,20 @@
-"""Fixed schemas of documents, tokens, readings, spans, gold and transducers."""
-
-from pyspark.sql import types as T
+"""Fixed schemas of documents, tokens, readings, spans, gold and transducers, as DDL."""
 
 VERSION = "textlattice.record.v1"
-FEATURE = T.StructType.fromDDL("k STRING, v STRING")
-FEATURES = T.ArrayType(FEATURE)
-MORPHEME = T.StructType.fromDDL("lemma STRING, tags ARRAY<STRING>, upos STRING, features ARRAY<STRUCT<k: STRING, v: STRING>>")
-READING = T.StructType.fromDDL(
-    "lemma STRING, upos STRING, features ARRAY<STRUCT<k: STRING, v: STRING>>, tags ARRAY<STRING>, "
-    "morphemes ARRAY<STRUCT<lemma: STRING, tags: ARRAY<STRING>, upos: STRING, features: ARRAY<STRUCT<k: STRING, v: STRING>>>>, "
-    "raw STRING, source STRING, score DOUBLE, guessed BOOLEAN, orthographic_variant BOOLEAN, context_upos STRING, "
-    "context_features ARRAY<STRUCT<k: STRING, v: STRING>>"
+FEATURES = "array<struct<k: string, v: string>>"
+MORPHEME = f"struct<lemma: string, tags: array<string>, upos: string, features: {FEATURES}>"
+READING = (
+    f"struct<lemma: string, upos: string, features: {FEATURES}, tags: array<string>, morphemes: array<{MORPHEME}>, raw: string, source: string, score: double, "
+    f"guessed: boolean, orthographic_variant: boolean, context_upos: string, context_features: {FEATURES}>"
 )
-READINGS = T.ArrayType(READING)
-TOKEN = T.StructType.fromDDL("tok_idx INT, text STRING, start INT, end INT, kind STRING, sentence_end BOOLEAN, normalized STRING, selected INT").add("readings", READINGS)
-SPAN = T.StructType.fromDDL("span_idx INT, text STRING, start INT, end INT, token_start INT, token_end INT, sentence_end BOOLEAN, normalized STRING, selected INT").add("readings", READINGS)
-LEXICON = T.StructType.fromDDL("surface STRING, cand_idx INT, raw STRING")
-FIXLIST = T.StructType.fromDDL("form_key STRING, ord INT, raw STRING")
-PREDICTIONS = T.StructType.fromDDL("doc_id LONG, start INT, end INT, text STRING, lemma STRING, upos STRING, features ARRAY<STRUCT<k: STRING, v: STRING>>")
-ARCS = T.StructType.fromDDL("src INT, dst INT, isym STRING, osym STRING")
-GOLD = T.StructType.fromDDL("sent_id STRING, ordinal INT, tok_id INT, form STRING, lemma STRING, upos STRING, features ARRAY<STRUCT<k: STRING, v: STRING>>, misc ARRAY<STRUCT<k: STRING, v: STRING>>")
+READINGS = f"array<{READING}>"
+TOKEN = f"struct<tok_idx: int, text: string, start: int, end: int, kind: string, sentence_end: boolean, normalized: string, selected: int, readings: {READINGS}>"
+SPAN = f"struct<span_idx: int, text: string, start: int, end: int, token_start: int, token_end: int, sentence_end: boolean, normalized: string, selected: int, readings: {READINGS}>"
+LEXICON = "surface string, cand_idx int, raw string"
+FIXLIST = "form_key string, ord int, raw string"
+PREDICTIONS = f"doc_id long, start int, end int, ord int, text string, lemma string, upos string, features {FEATURES}"
+ARCS = "src int, dst int, isym string, osym string"
+GOLD = f"sent_id string, ordinal int, tok_id int, form string, lemma string, upos string, features {FEATURES}, misc {FEATURES}"
 KINDS = ("space", "word", "number", "punct", "symbol")
 PROFILES = ("universal", "ktb")
 

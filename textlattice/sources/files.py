@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import codecs
+import hashlib
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,9 +18,8 @@ def check_codec(encoding: str) -> str:
     return info.name
 
 
-@F.pandas_udf("string")
-def _decode(content, encoding):
-    return __import__("pandas").Series([c.decode(e) for c, e in zip(content, encoding)])
+def _decode(content: pd.Series, encoding: pd.Series) -> pd.Series:
+    return pd.Series([c.decode(e) for c, e in zip(content, encoding)])
 
 
 def whole_texts(spark: SparkSession, path: str | list[str], encoding: str = "utf-8", pattern: str | None = None) -> DataFrame:
@@ -28,7 +29,7 @@ def whole_texts(spark: SparkSession, path: str | list[str], encoding: str = "utf
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     files = reader.load(path).dropDuplicates(["path"])
-    text = F.decode("content", "UTF-8") if name == "utf-8" else _decode(F.col("content"), F.lit(name))
+    text = F.decode("content", "UTF-8") if name == "utf-8" else F.pandas_udf(_decode, "string")(F.col("content"), F.lit(name))
     return files.select("path", text.alias("text"))
 
 
@@ -56,7 +57,7 @@ def version(*frames: DataFrame) -> str:
         # Sums of hash words stay one row; rows never reach the driver.
         words = [F.sum(F.conv(F.substring("h", 1 + 12 * i, 12), 16, 10).cast("decimal(38,0)")).cast("string") for i in range(5)]
         parts.append(row.agg(F.concat_ws(":", F.count("*"), *words).alias("v")).first().v)
-    return __import__("hashlib").sha256("|".join(parts).encode()).hexdigest()
+    return hashlib.sha256("|".join(parts).encode()).hexdigest()
 
 
 def sample(df: DataFrame, n: int, order: str, text_col: str = "text", where=None) -> DataFrame:
