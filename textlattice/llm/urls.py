@@ -89,7 +89,7 @@ def judge_urls(pages: DataFrame, rules=RULES, url_col: str = "url", keep: tuple[
     branch = tree.groupBy("host", "t").agg(F.sum("n").alias("n"), F.sum("l").alias("l"), F.sum("b").alias("b"))
     # Siblings: equal parents and equal tails below the segment in which they differ, the first that has no wildcard.
     over = branch.groupBy("t").agg(F.sum("l").alias("tl"), F.sum("b").alias("tb"))
-    every = branch.agg(F.sum("l").alias("al"), F.sum("b").alias("ab"))
+    labelled, blocked = branch.agg(F.coalesce(F.sum("l"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).first()
     level = F.greatest(F.size("t") - F.when(F.element_at(F.concat(F.array(F.lit("")), "t"), -1).startswith("*"), 2).otherwise(1), F.lit(0))
     branch = branch.select("*", F.slice("t", F.lit(1), level).alias("above"), F.slice("t", level + 2, F.lit(DEPTH + 1)).alias("below"))
     order = Window.partitionBy("host", "above", "below").orderBy(F.try_divide("b", "l"), "t")
@@ -100,8 +100,8 @@ def judge_urls(pages: DataFrame, rules=RULES, url_col: str = "url", keep: tuple[
     branch = branch.select("*", last_b.alias("pb"), last_l.alias("pl")).withColumn("new", F.when(F.col("pl").isNull(), 0).otherwise((gap > Z).cast("int")))
     branch = branch.withColumn("merged", F.sum("new").over(order))
     joint = branch.groupBy("host", "above", "below", "merged").agg(F.sum("l").alias("ml"), F.sum("b").alias("mb"))
-    whole = branch.join(joint, ["host", "above", "below", "merged"]).join(over, "t").crossJoin(F.broadcast(every))  # one row
-    prior = F.col("ab") / F.greatest(F.col("al"), F.lit(1))
+    whole = branch.join(joint, ["host", "above", "below", "merged"]).join(over, "t")
+    prior = F.lit(blocked / max(labelled, 1))
     prior = (F.col("tb") + PULL * prior) / (F.col("tl") + PULL)
     purity = (F.col("mb") + PULL * prior) / (F.col("ml") + PULL)
     verdicts = whole.select("host", "t", F.when(purity >= BLOCKED, "block").otherwise("allow").alias("said"))
