@@ -59,6 +59,14 @@ def number(surface: Column) -> Column:
     return simple(surface, "NUM", ["num"], F.concat(surface, F.lit("<num>")), "rule", True, {"NumType": "Card"})
 
 
+def protected(surface: Column) -> Column:
+    """Reading of a reserved character: punctuation or symbol by its category."""
+    raw = X.escape_reserved(surface)
+    return F.when(surface.rlike(r"^\p{P}$"), simple(surface, "PUNCT", ["punct"], F.concat(raw, F.lit("<punct>")), "rule", True)).otherwise(
+        simple(surface, "SYM", ["sym"], F.concat(raw, F.lit("<sym>")), "rule", True)
+    )
+
+
 def identity(r: Column) -> Column:
     return F.struct(X.casefold(r["lemma"]).alias("lemma"), r["upos"].alias("upos"), r["features"].alias("features"), r["raw"].alias("raw"))
 

@@ -139,3 +139,49 @@ def sentence_ids(tokens: DataFrame, id_col: str = "doc_id") -> DataFrame:
     t = tokens.withColumn("_before", F.coalesce(F.lag(F.col("sentence_end").cast("int")).over(w), F.lit(0)))
     t = t.withColumn("sent_no", F.sum("_before").over(w)).drop("_before")
     return t.withColumn("sent_tok", F.row_number().over(Window.partitionBy(id_col, "sent_no").orderBy("tok_idx")))
+
+
+def gold_coverage(tokens: DataFrame) -> DataFrame:
+    """``tokens(key, gold_upos, readings)`` of gold words, punctuation left out: what the lattice knows of them, by token and by type."""
+    t = tokens.filter(F.coalesce("gold_upos", F.lit("")) != "PUNCT").withColumn("r", F.coalesce("readings", F.expr("filter(readings, x -> false)")))
+    some = lambda f: F.exists("r", f)
+    compiled = some(lambda r: (r["source"] == "lexicon") & ~r["guessed"])
+    fix = some(lambda r: r["source"] == "fixlist")
+    effective = compiled | fix
+    with_guess = effective | some(lambda r: r["source"] == "guesser")
+    n = F.count_if
+    types = lambda c: F.count_distinct(F.when(c, F.col("key")))
+    return t.agg(
+        F.count("*").alias("gold_tokens"), F.count_distinct("key").alias("gold_types"), n(F.size("r") > 0).alias("with_analysis"), n(compiled).alias("compiled"), n(fix).alias("fixlist"), n(effective).alias("effective"),
+        n(some(lambda r: r["source"] == "rule")).alias("with_rule"), n(some(lambda r: (r["source"] == "lexicon") & r["guessed"])).alias("base_unknown"), n(~effective).alias("oov"), types(~effective).alias("oov_types"),
+        n(~with_guess).alias("oov_with_guess"), n(some(lambda r: r["source"] == "unknown")).alias("unknown_placeholders"), F.round(F.avg(F.size("r")), 6).alias("mean_candidates"), F.max(F.size("r")).alias("max_candidates"),
+    )
+
+
+def neural_resolution(tokens: DataFrame) -> DataFrame:
+    """``tokens(kind, n_candidates, predicted, selected)``: what re-ranking resolved of lexical tokens."""
+    t = tokens.filter(F.col("kind").isin("word", "number"))
+    many = F.col("n_candidates") > 1
+    n = F.count_if
+    return t.agg(
+        F.count("*").alias("lexical_tokens"), n("predicted").alias("predicted"), n(many).alias("ambiguous"), n(many & F.col("selected").isNotNull()).alias("resolved"), n(many & F.col("selected").isNull()).alias("abstained"),
+        F.round(F.try_divide(n(many & F.col("selected").isNotNull()), n(many)), 6).alias("resolution_rate"),
+    )
+
+
+def memory(samples: DataFrame) -> DataFrame:
+    """Largest and mean of ``samples(rss_mib)``."""
+    return samples.agg(F.max("rss_mib").alias("max_mib"), F.round(F.avg("rss_mib"), 6).alias("mean_mib"))
+
+
+def consistency(workers: DataFrame) -> DataFrame:
+    """Columns of ``workers(run_id, tokens, provenance)`` in which a run's workers do not agree."""
+    g = workers.groupBy("run_id").agg(F.count_distinct("tokens").alias("t"), F.count_distinct("provenance").alias("p"))
+    return g.select("run_id", F.array_compact(F.array(F.when(F.col("t") != 1, "tokens"), F.when(F.col("p") != 1, "provenance"))).alias("differs")).filter(F.size("differs") > 0)
+
+
+def ledger_difference(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Surfaces of two ledgers ``(surface, cand_idx, raw)`` whose ordered candidates differ."""
+    pack = lambda d, n: d.groupBy("surface").agg(F.transform(F.sort_array(F.collect_list(F.struct("cand_idx", "raw"))), lambda x: x["raw"]).alias(n))
+    j = pack(a, "left_raws").join(pack(b, "right_raws"), "surface", "full")
+    return j.filter(~F.col("left_raws").eqNullSafe(F.col("right_raws")))

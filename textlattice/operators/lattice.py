@@ -15,6 +15,8 @@ from textlattice.schemas import READINGS, check_profile
 
 #: Bounds of a phrase: tokens and characters.
 PHRASE_TOKENS, PHRASE_CHARS = 8, 96
+#: Fixed value: single characters that a backend stream reserves; they read as themselves.
+PROTECTED = tuple("\\^$/<>{}[]@#*+~|=&`")
 
 
 def empty() -> Column:
@@ -37,7 +39,8 @@ def lexicon_readings(lexicon: DataFrame, profile: str = "universal") -> DataFram
 def surface_readings(surfaces: DataFrame, lexicon: DataFrame, fixlist: DataFrame | None = None, guesses: DataFrame | None = None, profile: str = "universal") -> DataFrame:
     """``(surface, kind, readings)`` of distinct surfaces.
 
-    A fixlist entry replaces all other readings.  Lexical surfaces without any get, in this order,
+    A fixlist entry replaces all other readings.  Reserved single characters read as punctuation
+    or symbols.  Lexical surfaces without any get, in this order,
     the number reading, bounded hypotheses (``guesses(surface, guessed_readings)``), the unknown one.
     """
     check_profile(profile)
@@ -46,7 +49,8 @@ def surface_readings(surfaces: DataFrame, lexicon: DataFrame, fixlist: DataFrame
     s = s.join(fixlist_readings(fixlist, profile), "form_key", "left") if fixlist is not None else s.withColumn("fixed", F.lit(None).cast(READINGS))
     s = s.join(guesses, "surface", "left") if guesses is not None else s.withColumn("guessed_readings", F.lit(None).cast(READINGS))
     some = lambda c: F.when(F.size(c) > 0, F.col(c))
-    s = s.withColumn("own", R.distinct(F.coalesce(some("fixed"), some("read"), empty())))
+    one = F.when(F.col("surface").isin(*PROTECTED), F.array(R.protected(F.col("surface"))))
+    s = s.withColumn("own", R.distinct(F.coalesce(some("fixed"), some("read"), one, empty())))
     s = s.withColumn("k", X.kind_with_readings(F.col("surface"), F.transform("own", lambda r: r["upos"])))
     lexical = F.col("k").isin("word", "number")
     fallback = F.coalesce(

@@ -240,9 +240,9 @@ def event_windows(spark, sf):
     return g.select(F.col("w.start").alias("start"), "event_type", "n")
 
 
-@query(f"""WITH {PLACED}, n AS (SELECT *, {KIND} AS kind, e - length(tok) AS s FROM offs), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS i FROM n WHERE kind <> 'space')
-SELECT doc_id, md5(array_to_string(list(i || chr(9) || tok || chr(9) || CASE kind WHEN 'word' THEN {FOLD.format('tok')} WHEN 'number' THEN tok ELSE '_' END || chr(9) || CASE kind WHEN 'punct' THEN 'PUNCT' WHEN 'number' THEN 'NUM' ELSE 'X' END || chr(9) || '_' || chr(9) ||
-CASE kind WHEN 'number' THEN 'NumType=Card' ELSE '_' END || chr(9) || '_' || chr(9) || '_' || chr(9) || '_' || chr(9) || 'StartChar=' || s || '|EndChar=' || e || CASE WHEN kind IN ('word', 'number') THEN '|Guess=Yes' ELSE '' END ORDER BY idx), chr(10)) || chr(10) || chr(10)) AS conllu_md5 FROM r GROUP BY doc_id""")
+@query(f"""WITH {PLACED}, n AS (SELECT *, {KIND} AS kind, e - length(tok) AS s, tok IN ('\\', '^', '$', '/', '<', '>', '{{', '}}', '[', ']', '@', '#', '*', '+', '~', '|', '=', '&', '`') AS own FROM offs), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS i FROM n WHERE kind <> 'space')
+SELECT doc_id, md5(array_to_string(list(i || chr(9) || tok || chr(9) || CASE kind WHEN 'word' THEN {FOLD.format('tok')} WHEN 'number' THEN tok ELSE CASE WHEN own THEN tok ELSE '_' END END || chr(9) || CASE kind WHEN 'punct' THEN 'PUNCT' WHEN 'number' THEN 'NUM' ELSE CASE WHEN own THEN 'SYM' ELSE 'X' END END || chr(9) || '_' || chr(9) ||
+CASE kind WHEN 'number' THEN 'NumType=Card' ELSE '_' END || chr(9) || '_' || chr(9) || '_' || chr(9) || '_' || chr(9) || 'StartChar=' || s || '|EndChar=' || e || CASE WHEN own OR kind IN ('word', 'number') THEN '|Guess=Yes' ELSE '' END ORDER BY idx), chr(10)) || chr(10) || chr(10)) AS conllu_md5 FROM r GROUP BY doc_id""")
 def documents_conllu(spark, sf):
     """CoNLL-U of every document without a lexicon, as a digest."""
     from textlattice.operators import serialize as S

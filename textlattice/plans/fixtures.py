@@ -276,7 +276,7 @@ ORACLES["neural_rerank"] = """SELECT tok_idx, cand_idx, round(CAST(score AS DOUB
 def rule_disambiguation(spark, sf):
     """SELECT and REMOVE rules in context; a last reading is never removed."""
     r = rows(spark, [(1, 0, 0, ["n", "nom"]), (1, 0, 1, ["v", "imp"]), (1, 1, 0, ["adj"]), (1, 2, 0, ["n"]), (1, 2, 1, ["np"])], "doc_id long, tok_idx int, cand_idx int, tags array<string>")
-    return C.select_single(C.apply_rules(r, [("SELECT", "v", [(1, "adj")]), ("REMOVE", "adj", []), ("REMOVE", "np", [(-1, "v")])]))
+    return C.select_single(C.apply_rules(r, [("SELECT", "v", [(1, "adj")]), ("REMOVE", "adj", []), ("REMOVE", "np", [(-1, "v")])])).drop("doc_id")
 
 
 GOLD = "﻿# sent_id = s1\n# text = Мен келдім.\n1\tМен\tмен\tpron\t_\tCase=Nom|Person=1\t2\tnsubj\t_\t_\n2\tкелдім\tкел\tVERB\t_\t_\t0\troot\t_\tSpaceAfter=No\n3\t.\t.\tPUNCT\t_\t_\t2\tpunct\t_\t_\n\n1-2\tекібол\t_\t_\t_\t_\t_\t_\t_\t_\n1\tекі\tекі\tNUM\t_\t_\t2\tx\t_\t_\n2\tбол\tбол\tAUX\t_\t_\t0\tx\t_\t_\n2.1\tx\t_\t_\t_\t_\t_\t_\t_\t_\n3\tбар\tбар\tADJ\t_\tb=1|a=2\t0\tx\t_\tSpaceAfter=No\n\nbad\trow\n"
@@ -292,7 +292,7 @@ def conllu_parse(spark, sf):
     return p["tokens"].join(p["sentences"], "sent_id").select("sent_id", "ordinal", "tok_id", "form", "upos", feats(F.col("features")).alias("features"), "text", "used_text_comment", "empty_nodes")
 
 
-@expects("line_no INT, message VARCHAR", [(16, "expected 10 columns")])
+@expects("line_no INT, message VARCHAR", [(13, "expected 10 columns")])
 def conllu_errors(spark, sf):
     """Malformed gold rows with their line."""
     return conllu.parse(rows(spark, [("g", GOLD)], "path string, text string"))["errors"].select("line_no", "message")
@@ -453,10 +453,13 @@ def csr_offsets(spark, sf):
     return D.csr(_fst(spark)[0])
 
 
-@expects("text VARCHAR, nfc VARCHAR, boundaries VARCHAR", [("AйB", "AйB", "0,1,3,4"), ("X각Y", "X각Y", "0,1,4,5"), ("й ́", "й ́", "0,2,3,4"), ("plain", "plain", "0,1,2,3,4,5")])
+COMPOSE = [("A\u0438\u0306B", "A\u0439B", "0,1,3,4"), ("X\u1100\u1161\u11a8Y", "X\uac01Y", "0,1,4,5"), ("\u0438\u0306 \u0301", "\u0439 \u0301", "0,2,3,4"), ("plain", "plain", "0,1,2,3,4,5")]
+
+
+@expects("text VARCHAR, nfc VARCHAR, boundaries VARCHAR", COMPOSE)
 def nfc_boundaries(spark, sf):
     """Composition with the map of boundaries to the original."""
-    d = rows(spark, [("AйB",), ("X각Y",), ("й ́",), ("plain",)], "text string").withColumn("n", X.nfc_with_boundaries(F.col("text")))
+    d = rows(spark, [x[:1] for x in COMPOSE], "text string").withColumn("n", X.nfc_with_boundaries(F.col("text")))
     return d.select("text", "n.nfc", F.concat_ws(",", F.col("n.boundaries").cast("array<string>")).alias("boundaries"))
 
 
@@ -508,3 +511,133 @@ def coverage_origins(spark, sf):
     sets = [F.array(r("a<n>", "lexicon", False), r("a<v>", "rule", False)), F.array(r("a<n>", "fixlist", False)), F.array(r("a<n>", "guesser", True)), F.array(r("a<n>", "rule", True)), F.array(r("a<n><unk>", "lexicon", False)), F.array(r("a<n>", "unknown", True)), none]
     d = spark.range(1).select(F.explode(F.array(*sets)).alias("readings")).withColumn("kind", F.lit("word"))
     return E.coverage(d)
+
+
+from textlattice.operators import cohorts as K  # noqa: E402
+
+
+@expects("text VARCHAR, cohorts VARCHAR, atoms VARCHAR", [
+    ("екі  сөз.", "0-8,8-9", "0-3,3-5,5-8,8-9"), ("а-ә", "0-1,1-2,2-3", "0-3"), ("-а", "0-2", "0-1,1-2"), ("51%-дан", "0-7", "0-7"), ("51%-дан", "0-2,2-3,3-7", "0-2,2-3,3-7"), ("x—y", "0-3", "0-1,1-2,2-3"), ("", "", ""),
+])
+def atomic_intervals(spark, sf):
+    """Consuming atoms from cohorts: white space, dashes and hyphens decide."""
+    data = [("екі  сөз.", [0, 8, 8, 9]), ("а-ә", [0, 1, 1, 2, 2, 3]), ("-а", [0, 2]), ("51%-дан", [0, 7]), ("51%-дан", [0, 2, 2, 3, 3, 7]), ("x—y", [0, 3]), ("", [])]
+    d = rows(spark, data, "text string, b array<int>")
+    show = lambda c: F.array_join(F.transform(c, lambda p: F.concat_ws("-", p["start"].cast("string"), p["end"].cast("string"))), ",")
+    pairs = F.filter(F.transform("b", lambda x, i: F.when(i % 2 == 0, F.concat_ws("-", x.cast("string"), F.get("b", i + 1).cast("string")))), lambda x: x.isNotNull())
+    return d.select("text", F.array_join(pairs, ",").alias("cohorts"), show(K.atomic_intervals(K.characters(F.col("text")), F.col("b"))).alias("atoms"))
+
+
+SEGS = "array<struct<text:string,readings:array<string>>>"
+
+
+@expects("text VARCHAR, segments VARCHAR, error VARCHAR", [("қош!", "0-3,3-4", None), ("қош", "0-3", None), ("қош", "0-2", "input is not covered"), ("қош", "", "not aligned at 0")])
+def segment_alignment(spark, sf):
+    """Cohorts against the text; control data goes, gaps are errors."""
+    d = rows(spark, [("қош!", [("қош", ["қош<n>"]), ("!", ["!<sent>"]), (".", [".<sent>"])]), ("қош", [("қош", [])]), ("қош", [("қо", [])]), ("қош", [("ош", [])])], f"text string, s {SEGS}")
+    a = K.align_segments(F.col("text"), F.col("s"))
+    return d.select("text", F.array_join(F.transform(a["segments"], lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",").alias("segments"), a["error"].alias("error"))
+
+
+@expects("start INT, readings VARCHAR, sentence_end BOOLEAN, exact BOOLEAN, crossing BOOLEAN", [(0, "а<n>", False, True, False), (1, "", False, True, False), (2, "", True, False, False), (5, "", False, False, True)])
+def cohort_readings(spark, sf):
+    """Readings per atom; several cohorts leave only sentence ends; crossing is told."""
+    d = spark.sql(f"""SELECT array(named_struct('start', 0, 'end', 1), named_struct('start', 1, 'end', 2), named_struct('start', 2, 'end', 5), named_struct('start', 5, 'end', 7)) AS i,
+      CAST(array(named_struct('text', 'а', 'readings', array('а<n>'), 'start', 0, 'end', 1), named_struct('text', ' ', 'readings', array(), 'start', 1, 'end', 2), named_struct('text', 'б', 'readings', array('б<n>'), 'start', 2, 'end', 3),
+      named_struct('text', '-.', 'readings', array('.<sent>'), 'start', 3, 'end', 5), named_struct('text', 'вгд', 'readings', array('x<n>'), 'start', 5, 'end', 8)) AS array<{K.SEGMENT}>) AS s""")
+    out = d.select(F.explode(K.interval_readings(F.col("i"), F.col("s"))).alias("r"))
+    return out.select("r.start", F.array_join("r.readings", "|").alias("readings"), "r.sentence_end", "r.exact", "r.crossing")
+
+
+@expects("pieces VARCHAR, exact_before BOOLEAN, exact_after BOOLEAN", [("0-1:!|1-2: |2-4:сө", False, True)])
+def plain_split(spark, sf):
+    """Gaps cut at the ends of atoms."""
+    d = spark.sql(f"""SELECT array(named_struct('start', 0, 'end', 1), named_struct('start', 1, 'end', 2), named_struct('start', 2, 'end', 4)) AS i,
+      CAST(array(named_struct('text', '! ', 'readings', array(), 'start', 0, 'end', 2), named_struct('text', 'сө', 'readings', array('x'), 'start', 2, 'end', 4)) AS array<{K.SEGMENT}>) AS s""").withColumn("p", K.split_plain(F.col("i"), F.col("s")))
+    show = F.array_join(F.transform("p", lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["end"].cast("string"), F.lit(":"), s["text"])), "|")
+    return d.select(show.alias("pieces"), K.is_exact_partition(F.col("i"), F.col("s")).alias("exact_before"), K.is_exact_partition(F.col("i"), F.col("p")).alias("exact_after"))
+
+
+@expects("k INT, selected INT", [(0, 0), (1, 1), (2, None), (3, None), (4, None)])
+def span_selection(spark, sf):
+    """A span's choice by the one genuine contextual reading."""
+    d = rows(spark, [(0, ["a"], None), (1, ["a", "b"], ["b", "*x"]), (2, ["a", "b"], ["a", "b"]), (3, ["a", "a"], ["a"]), (4, ["a", "b"], None)], "k int, r array<string>, c array<string>")
+    return d.select("k", K.select_span(F.col("r"), F.col("c")).alias("selected"))
+
+
+@expects("text VARCHAR, inner_hyphens VARCHAR, fenced VARCHAR", [("йа-а", "2", "2"), ("а-а", "1", ""), ("№-а", "", "1"), ("сөз-ау", "3", ""), ("а-а-а", "1,3", "1,3"), ("-А!", "", "0"), ("x", "", "")])
+def hyphen_fences(spark, sf):
+    """Hyphens inside chains, and those before the lossy suffix."""
+    d = rows(spark, [(x,) for x in ("йа-а", "а-а", "№-а", "сөз-ау", "а-а-а", "-А!", "x")], "text string").withColumn("c", K.characters(F.col("text")))
+    show = lambda c: F.concat_ws(",", c.cast("array<string>"))
+    return d.select("text", show(K.hyphen_indexes(F.col("c"))).alias("inner_hyphens"), show(K.fenced_hyphens(F.col("c"))).alias("fenced"))
+
+
+@expects("tok_idx INT, text VARCHAR", [(0, "("), (1, "51%-дан"), (2, " "), (3, "51"), (4, "%"), (5, ")"), (6, " "), (7, "а-ә")])
+def whole_run_tokens(spark, sf):
+    """Runs that the lexicon licenses stay whole."""
+    lex = rows(spark, [("51%-дан", 0, "x<num>"), ("а-ә", 0, "y<n>")], "surface string, cand_idx int, raw string")
+    return K.whole_runs(rows(spark, [(1, "(51%-дан 51%) а-ә")], "doc_id long, text string"), lex).select("tok_idx", "text")
+
+
+@expects("at INT, tok_idx INT", [(0, 0), (3, 1), (4, 2), (6, 3), (99, 3)])
+def asof_tokens(spark, sf):
+    """The token that starts last at or before a place."""
+    t = X.explode_tokens(rows(spark, [(1, "сөз, бар")], "doc_id long, text string"))
+    return K.last_start(t, rows(spark, [(1, 0), (1, 3), (1, 4), (1, 6), (1, 99)], "doc_id long, at int")).select("at", "tok_idx")
+
+
+@expects("surface VARCHAR, upos VARCHAR, raw VARCHAR, kind VARCHAR", [("*", "PUNCT", "\\*<punct>", "punct"), ("+", "SYM", "\\+<sym>", "symbol"), ("=", "SYM", "=<sym>", "symbol")])
+def protected_characters(spark, sf):
+    """Reserved single characters read as themselves."""
+    r = L.surface_readings(rows(spark, [("*",), ("+",), ("=",)], "surface string"), rows(spark, [], "surface string, cand_idx int, raw string"))
+    return r.select("surface", F.col("readings")[0]["upos"].alias("upos"), F.col("readings")[0]["raw"].alias("raw"), "kind")
+
+
+@expects("gold_tokens BIGINT, gold_types BIGINT, compiled BIGINT, fixlist BIGINT, effective BIGINT, oov BIGINT, oov_types BIGINT, oov_with_guess BIGINT, unknown_placeholders BIGINT, max_candidates INT", [(5, 4, 1, 1, 2, 3, 2, 1, 1, 1)])
+def gold_coverage(spark, sf):
+    """Coverage of gold words by source."""
+    r = lambda source, guessed: F.array(R.parse(F.lit("a<n>"), source, guessed))
+    rows_ = [("a", r("lexicon", False)), ("b", r("fixlist", False)), ("c", r("guesser", True)), ("c", r("guesser", True)), ("d", r("unknown", True))]
+    d = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(k).alias("key"), F.lit("NOUN").alias("gold_upos"), v.alias("readings")) for k, v in rows_])))
+    return E.gold_coverage(d).select("gold_tokens", "gold_types", "compiled", "fixlist", "effective", "oov", "oov_types", "oov_with_guess", "unknown_placeholders", "max_candidates")
+
+
+@expects("lexical_tokens BIGINT, predicted BIGINT, ambiguous BIGINT, resolved BIGINT, abstained BIGINT, resolution_rate DOUBLE", [(3, 2, 2, 1, 1, 0.5)])
+def neural_resolution(spark, sf):
+    """What re-ranking resolved."""
+    return E.neural_resolution(rows(spark, [("word", 2, True, 1), ("word", 3, False, None), ("number", 1, True, 0), ("space", 0, False, None)], "kind string, n_candidates int, predicted boolean, selected int"))
+
+
+@expects("run_id VARCHAR, differs VARCHAR", [("b", "tokens"), ("c", "tokens,provenance")])
+def worker_consistency(spark, sf):
+    """Runs whose workers do not agree."""
+    d = rows(spark, [("a", 1, "x"), ("a", 1, "x"), ("b", 1, "x"), ("b", 2, "x"), ("c", 1, "x"), ("c", 2, "y")], "run_id string, tokens int, provenance string")
+    return E.consistency(d).select("run_id", F.array_join("differs", ",").alias("differs"))
+
+
+@expects("surface VARCHAR", [("b",), ("c",)])
+def ledger_difference(spark, sf):
+    """Surfaces whose ordered candidates differ."""
+    a = rows(spark, [("a", 0, "x"), ("a", 1, "y"), ("b", 0, "x"), ("b", 1, "y")], "surface string, cand_idx int, raw string")
+    b = rows(spark, [("a", 1, "y"), ("a", 0, "x"), ("b", 0, "y"), ("b", 1, "x"), ("c", 0, "z")], "surface string, cand_idx int, raw string")
+    return E.ledger_difference(a, b).select("surface")
+
+
+@expects("max_mib DOUBLE, mean_mib DOUBLE", [(30.0, 20.0)])
+def memory_summary(spark, sf):
+    """Memory samples."""
+    return E.memory(rows(spark, [(10.0,), (20.0,), (30.0,)], "rss_mib double"))
+
+
+@expects("run INT, text VARCHAR", [(1, "a\nb"), (2, "a\nb")])
+def workload_text(spark, sf):
+    """A joined, repeated, cut workload."""
+    return files.workload(rows(spark, [(2, "bcd"), (1, "a"), (3, "")], "i int, text string"), spark, repeat=2, max_chars=3, order="i")
+
+
+@expects("shape VARCHAR, direction VARCHAR, evidence VARCHAR, count BIGINT", [("2:1", "merge", "analyzer_multiword_fusion", 1), ("2:1", "merge", "ud_multiword_token_surface", 1), ("1:2", "split", "analyzer_punctuation_split", 1)])
+def group_evidence(spark, sf):
+    """What explains grouped alignments."""
+    ops = rows(spark, [("a", 0, "match", 0, 2, 0, 1, "group"), ("b", 0, "match", 0, 2, 0, 1, "group"), ("c", 0, "match", 0, 1, 0, 2, "group")], A.OPS)
+    return E.group_evidence(ops, rows(spark, [("b", 0, 2)], "sent_id string, gold_start int, gold_end int"), rows(spark, [("c", 1, "punct")], "sent_id string, tok_idx int, kind string"))

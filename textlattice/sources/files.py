@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import codecs
 import hashlib
+import os
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -74,3 +75,45 @@ def surface_inventory(texts: DataFrame, probes: DataFrame | None = None, text_co
     if probes is not None:
         found = found.union(probes.select("surface"))
     return found.filter((F.length("surface") <= longest) & ~F.contains("surface", F.lit("\0"))).distinct()
+
+
+DEFAULT_WORKLOAD = ("Сәлем, әлем!", "Мен бүгін кітап оқыдым.", "Бұл 2026-жыл.", "Қалайсың?")
+
+
+def workload(texts: DataFrame | None, spark: SparkSession, repeat: int = 1, max_chars: int | None = None, text_col: str = "text", order: str | None = None) -> DataFrame:
+    """One row ``(text)`` per repetition: non-empty texts joined by line feeds, cut to ``max_chars``; a short default without texts."""
+    if repeat < 1:
+        raise ValueError("repeat must be positive")
+    if texts is None:
+        one = spark.createDataFrame([("\n".join(DEFAULT_WORKLOAD),)], "text string")
+    else:
+        key = F.col(order) if order else F.lit(0)
+        rows = texts.filter(F.coalesce(text_col, F.lit("")) != "").select(F.struct(key.alias("o"), F.col(text_col).alias("t")).alias("p"))
+        one = rows.agg(F.array_join(F.transform(F.sort_array(F.collect_list("p")), lambda p: p["t"]), "\n").alias("text"))
+    if max_chars is not None:
+        one = one.select(F.substring("text", 1, max_chars).alias("text"))
+    return one.withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(repeat)))).select("run", "text")
+
+
+def resource_folder(explicit: str | None = None, env: str = "TEXTLATTICE_RESOURCES", project: str = ".textlattice") -> str | None:
+    """Where resources are: the stated folder, the environment's, the project's, the user's cache; the first that exists."""
+    cache = os.path.join(os.path.expanduser("~"), ".cache", "textlattice")
+    if explicit is not None:
+        return explicit
+    return next((p for p in (os.environ.get(env), os.path.abspath(project), cache) if p and os.path.isdir(p)), None)
+
+
+def publish(df: DataFrame, folder: str, name: str) -> str:
+    """Writes a table under the digest of its rows and then names it by one rename of a pointer file."""
+    spark, digest = df.sparkSession, version(df)
+    target = f"{folder.rstrip('/')}/{digest}"
+    df.write.mode("overwrite").parquet(target)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    new, final = path(f"{folder}/.{name}.{digest}"), path(f"{folder}/{name}.current")
+    out = fs.create(new, True)
+    out.writeBytes(digest)
+    out.close()
+    fs.delete(final, False)
+    fs.rename(new, final)
+    return digest

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from textlattice.functions import text as X
 
-UNIT = r"\^(?:\\.|[^\\$])*\$|(?:\\.|[^\\^])+|(?s:.)"
+#: A unit, an unterminated unit (up to the end), a gap, or any one character.
+UNIT = r"(?s)\^(?:\\.|[^\\$])*\$|\^(?:\\.|[^\\$])*\z|(?:\\.|[^\\^])+|."
 
 
 def fixlist(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
