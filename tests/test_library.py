@@ -107,3 +107,20 @@ def test_cli_flags():
 def test_library_imports_without_llm():
     code = "import sys; sys.modules['textlattice.llm'] = None; import textlattice.engine, textlattice.plans.corpus, textlattice.cli, textlattice.streaming.lattice"
     subprocess.run([sys.executable, "-c", code], check=True)
+
+
+def test_chunks_are_carried_between_batches(spark, tmp_path):
+    src = str(tmp_path / "chunks")
+    schema = "doc_id long, chunk_no int, text string, last boolean"
+    spark.createDataFrame([(1, 0, "a", False), (2, 0, "x", True)], schema).coalesce(1).write.parquet(src)
+    spark.createDataFrame([(1, 1, "b", True)], schema).coalesce(1).write.mode("append").parquet(src)
+    df = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    q = stream.carry_chunks(df).writeStream.format("memory").queryName("carried").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "state")).start()
+    assert q.awaitTermination(90)
+    assert sorted((r.doc_id, r.text) for r in spark.table("carried").collect()) == [(1, "ab"), (2, "x")]
+
+
+def test_publish(spark, tmp_path):
+    d = spark.createDataFrame([(1, "a")], "i int, s string")
+    digest = files.publish(d, str(tmp_path), "lexicon")
+    assert (tmp_path / "lexicon.current").read_bytes() == digest.encode() and spark.read.parquet(str(tmp_path / digest)).collect() == d.collect()

@@ -21,19 +21,21 @@ def parse(raw: Column, source: Column | str = "lexicon", guessed: Column | bool
     def morpheme(part: Column) -> Column:
         tags = F.regexp_extract_all(part, F.lit(TAGS), F.lit(1))
         lemma = X.unescape(F.regexp_extract(part, r"^((?:\\.|[^<\\])*)", 1))
-        return F.struct(lemma.alias("lemma"), tags.alias("tags"), T.upos(tags).alias("upos"), T.features(tags, profile).alias("features"))
-
-    parts = F.transform(X.split_unescaped(raw, "+"), morpheme)
-    main = F.try_element_at(F.filter(parts, lambda m: (m["lemma"] != "") | (F.size(m["tags"]) > 0)), F.lit(1))
-    lemma = F.coalesce(F.try_element_at(F.filter(parts, lambda m: m["lemma"] != ""), F.lit(1))["lemma"], raw)
-    none = F.array().cast(FEATURES)
-    all_tags = F.flatten(F.transform(parts, lambda m: m["tags"]))
-    value = F.struct(
-        lemma.alias("lemma"), F.coalesce(main["upos"], F.lit("X")).alias("upos"), F.coalesce(main["features"], none).alias("features"), all_tags.alias("tags"), parts.alias("morphemes"),
-        raw.alias("raw"), source.alias("source"), (F.lit(None).cast("double") if score is None else score).alias("score"),
-        (guessed | F.array_contains(all_tags, "unk")).alias("guessed"), F.array_contains(all_tags, "err_orth").alias("orthographic_variant"),
-        F.lit(None).cast("string").alias("context_upos"), F.array().cast(FEATURES).alias("context_features"),
-    )
+        return T.let(tags, lambda t: F.struct(lemma.alias("lemma"), t.alias("tags"), T.upos(t).alias("upos"), T.features(t, profile).alias("features")))
+
+    def whole(parts: Column) -> Column:
+        main = F.try_element_at(F.filter(parts, lambda m: (m["lemma"] != "") | (F.size(m["tags"]) > 0)), F.lit(1))
+        lemma = F.coalesce(F.try_element_at(F.filter(parts, lambda m: m["lemma"] != ""), F.lit(1))["lemma"], raw)
+        none = F.array().cast(FEATURES)
+        all_tags = F.flatten(F.transform(parts, lambda m: m["tags"]))
+        return F.struct(
+            lemma.alias("lemma"), F.coalesce(main["upos"], F.lit("X")).alias("upos"), F.coalesce(main["features"], none).alias("features"), all_tags.alias("tags"), parts.alias("morphemes"),
+            raw.alias("raw"), source.alias("source"), (F.lit(None).cast("double") if score is None else score).alias("score"),
+            (guessed | F.array_contains(all_tags, "unk")).alias("guessed"), F.array_contains(all_tags, "err_orth").alias("orthographic_variant"),
+            F.lit(None).cast("string").alias("context_upos"), none.alias("context_features"),
+        )
+
+    value = T.let(F.transform(X.split_unescaped(raw, "+"), morpheme), whole)
     bad = (raw == "") | raw.startswith("*") | raw.endswith("+?")
     return F.when(~bad, value.cast(READING))
 
@@ -73,8 +75,7 @@ def identity(r: Column) -> Column:
 
 def distinct(readings: Column) -> Column:
     """Without later readings of an earlier one's identity."""
-    keys = F.transform(readings, identity)
-    return F.filter(readings, lambda r, i: F.array_position(keys, identity(r)) == i + 1)
+    return T.let(readings, lambda rs: T.let(F.transform(rs, identity), lambda keys: F.filter(rs, lambda r, i: F.array_position(keys, F.get(keys, i)) == i + 1)))
 
 
 def aliases(readings: Column, surface: Column, profile: str = "universal") -> Column:

@@ -38,6 +38,11 @@ NAME_TYPE = ("top Geo", "ant Giv", "cog Sur", "pat Pat", "org Com", "al Oth")
 KTB_LEAVES_OUT = ("Abbr", "NameType", "PartType")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _table(pairs: tuple[str, ...]) -> Column:
     return F.create_map(*[F.lit(x) for p in pairs for x in p.split(" ")])
 
@@ -63,8 +68,11 @@ def upos(tags: Column) -> Column:
 def features(tags: Column, profile: str = "universal") -> Column:
     """Array of (k, v) sorted by key."""
     ktb = check_profile(profile) == "ktb"
+    return let(tags, lambda t: let(upos(t), lambda pos: _features(t, pos, ktb)))
+
+
+def _features(tags: Column, pos: Column, ktb: bool) -> Column:
     has = lambda *names: F.arrays_overlap(tags, F.array(*map(F.lit, names)))
-    pos = upos(tags)
     is_ = lambda *names: pos.isin(*names)
     case = F.coalesce(last_of(tags, PRIMARY_CASE), last_of(tags, SECONDARY_CASE), F.when(has("attr"), "Nom"))
     form = first_of(tags, VERB_FORM)
@@ -116,8 +124,11 @@ def with_value(feats: Column, key: str, value: str) -> Column:
 def alternatives(tags: Column, bare_decimal: Column, profile: str = "universal") -> Column:
     """Further (upos, features) views that explicit usage tags or a bare decimal license, in order."""
     ktb = check_profile(profile) == "ktb"
+    return let(tags, lambda t: let(F.struct(upos(t).alias("upos"), features(t, profile).alias("features")), lambda own: _alternatives(t, own["upos"], own["features"], bare_decimal, ktb)))
+
+
+def _alternatives(tags: Column, pos: Column, feats: Column, bare_decimal: Column, ktb: bool) -> Column:
     has = lambda *names: F.arrays_overlap(tags, F.array(*map(F.lit, names)))
-    pos, feats = upos(tags), features(tags, profile)
     view = lambda u, f: F.struct(u.alias("upos"), f.alias("features"))
     number = bare_decimal & (pos == "NUM") & has("num") & ~has("ord", "coll", "dist")
     found = [F.when(number, view(pos, with_value(feats, "NumType", "Ord")))]
