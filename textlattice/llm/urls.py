@@ -84,10 +84,13 @@ def judge_urls(pages: DataFrame, rules=RULES, url_col: str = "url", keep: tuple[
         step = step.join(wild, ["host", "t", "seg"], "left")
         name = F.when(F.col("wild"), F.lit("*")).otherwise(F.col("seg"))
         tree = step.select("host", "t0", "n", "l", "b", F.when(F.col("seg").isNull(), F.col("t")).otherwise(F.concat("t", F.array(name))).alias("t"))
+        # Each level is a table of its own: one plan over all of them would be the driver's load.
+        tree = stored(tree, folder, f"level{level}")
     tree = tree.select("host", "t0", "n", "l", "b", F.when(F.size("t0") > DEPTH, F.concat("t", F.array(F.lit("**")))).otherwise(F.col("t")).alias("t"))
     tree = stored(tree, folder, "tree")
     branch = tree.groupBy("host", "t").agg(F.sum("n").alias("n"), F.sum("l").alias("l"), F.sum("b").alias("b"))
     # Siblings: equal parents and equal tails below the segment in which they differ, the first that has no wildcard.
+    branch = stored(branch, folder, "shares")
     over = branch.groupBy("t").agg(F.sum("l").alias("tl"), F.sum("b").alias("tb"))
     labelled, blocked = branch.agg(F.coalesce(F.sum("l"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).first()
     level = F.greatest(F.size("t") - F.when(F.element_at(F.concat(F.array(F.lit("")), "t"), -1).startswith("*"), 2).otherwise(1), F.lit(0))
@@ -98,7 +101,7 @@ def judge_urls(pages: DataFrame, rules=RULES, url_col: str = "url", keep: tuple[
     mid = p(F.col("b") + F.col("pb"), F.col("l") + F.col("pl"))
     gap = F.abs(p(F.col("b"), F.col("l")) - p(F.col("pb"), F.col("pl"))) / F.sqrt(mid * (1 - mid) * (1 / (F.col("l") + 2.0) + 1 / (F.col("pl") + 2.0)))
     branch = branch.select("*", last_b.alias("pb"), last_l.alias("pl")).withColumn("new", F.when(F.col("pl").isNull(), 0).otherwise((gap > Z).cast("int")))
-    branch = branch.withColumn("merged", F.sum("new").over(order))
+    branch = stored(branch.withColumn("merged", F.sum("new").over(order)), folder, "branches")
     joint = branch.groupBy("host", "above", "below", "merged").agg(F.sum("l").alias("ml"), F.sum("b").alias("mb"))
     whole = branch.join(joint, ["host", "above", "below", "merged"]).join(over, "t")
     prior = F.lit(blocked / max(labelled, 1))
