@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import scratch, stored
 
 #: Entries of a page, most vectors of a tree, pivots, rows that pivots are picked from (smallest hashes of the ids).
-PAGE, TREE, PIVOTS, SAMPLE = 64, 4096, 256, 4096
+PAGE, TREE, PIVOTS, SAMPLE = 256, 8192, 256, 4096
 #: Trees in a chunk of the directory that meets each block of queries.
 CHUNK = 256
 
