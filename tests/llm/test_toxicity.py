@@ -3,7 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from textlattice.llm.toxicity import Examples, toxicity
+from textlattice.llm.toxicity import Examples, _vocabulary, toxicity
 
 
 def test_block_max_equals_brute_force():
@@ -43,3 +43,8 @@ def test_scores(spark):
     assert toxicity(docs.limit(0), marks, F.lit(True)).collect() == []
     bare = toxicity(docs, marks.limit(0), F.lit(True)).collect()
     assert len({r.score for r in bare}) == 1 and np.isclose(bare[0].score, 0.5)
+
+
+def test_terms_of_low_ratio_are_kept(spark):
+    rows = [(1, f"only{i} " + ("half" if i % 2 else "")) for i in range(200)] + [(0, f"other{i} " + ("" if i % 4 else "half")) for i in range(400)]
+    assert _vocabulary(spark.createDataFrame(rows, "label int, text string")) == ["half"]

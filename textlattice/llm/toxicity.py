@@ -1,7 +1,7 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Fitting: from a bounded sample of labelled rows, terms whose document shares differ between the
-labels (by a two-proportion z and by their ratio) make the vocabulary; their document frequencies are counted over the
+labels (by a two-proportion z) make the vocabulary; their document frequencies are counted over the
 whole corpus.  The labelled examples go into an inverted index whose documents lie in blocks; for
 each term and block the largest weight is kept.  A text opens blocks by falling upper bound until
 the bound is under its k-th cosine, which makes the neighbours exact.  Their votes, weighted by
@@ -24,8 +24,8 @@ from .common import rows, scratch, stored, tasks
 
 #: Bounds of the fitted model: labelled rows, terms, documents of a block, neighbours.
 LABELLED, TERMS, BLOCK, NEAREST = 12_000, 4096, 64, 15
-#: Least z of a term, least labelled documents that have it, and least ratio of its shares under the two labels.
-LEAST_Z, LEAST_DOCS, LEAST_RATIO = 4.0, 4, 4.0
+#: Least z of a term, and least labelled documents that have it.
+LEAST_Z, LEAST_DOCS = 4.0, 4
 WORD = re.compile(r"\w+")
 
 
@@ -144,8 +144,6 @@ def _vocabulary(sample: DataFrame) -> list[str]:
     both = (F.col("one") + F.col("zero")) / (n1 + n0)
     z = (F.col("one") / n1 - F.col("zero") / n0) / F.sqrt(both * (1 - both) * (1 / n1 + 1 / n0))
     picked = by.filter("term is not null").filter(F.col("one") + F.col("zero") >= LEAST_DOCS).withColumn("z", F.abs(z)).filter(F.col("z") >= LEAST_Z)
-    ratio = ((F.col("one") + 0.5) / (n1 + 1)) / ((F.col("zero") + 0.5) / (n0 + 1))
-    picked = picked.filter((ratio >= LEAST_RATIO) | (ratio <= 1 / LEAST_RATIO))
     return [r.term for r in picked.orderBy(F.desc("z"), "term").limit(TERMS).collect()]
 
 
