@@ -2,25 +2,31 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text after which an Arrow result batch is sent on.
 FLUSH_BYTES = 8 << 20
+#: Rows of a few numbers (up to 64 bytes) up to which a counted table is broadcast.
+FEW = 300_000
 
 
 def scratch(spark: SparkSession) -> str:
     """A fresh folder under the cluster's shared ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, local mode) a local folder is made and set.
+    Only where that is unset and the master is local (tests) a local folder is made and set.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[(?!.*cluster)|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="textlattice-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/tl-{uuid.uuid4().hex}"
@@ -76,14 +82,37 @@ def components(edges: DataFrame, folder: str, tag: str) -> DataFrame:
             return labels
 
 
-def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 500_000) -> DataFrame:
+def few(df: DataFrame) -> DataFrame:
+    """Rows of a few numbers, marked for broadcast if they have been counted to be small."""
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
+def id_key(docs: DataFrame, id_col: str) -> Column:
+    """The id as a long: whole numbers as they are, other kinds by their hash, null as the least long."""
+    whole = isinstance(docs.schema[id_col].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+    key = F.col(id_col).cast("long") if whole else F.when(F.col(id_col).isNotNull(), F.xxhash64(id_col))
+    return F.coalesce(key, F.lit(-(1 << 63)))
+
+
+def own_names(docs: DataFrame, *names: str) -> list[str]:
+    """Column names that ``docs`` doesn't have, in any case of letters."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows whose id and text hash are in ``gone(id, tag)``; null ids match null ids.
 
     ``gone`` is broadcast if it has been counted to have few rows (16 bytes each); beyond that the
     documents are shuffled by both keys.
     """
-    gone = gone.select(F.coalesce(F.col("id").cast("long"), F.lit(-(1 << 63))).alias("_id"), F.col("tag").alias("_tag")).distinct()
-    if gone.count() <= broadcast_rows:
-        gone = F.broadcast(gone)
-    keyed = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), "_tag": F.xxhash64(text_col)})
-    return keyed.join(gone, ["_id", "_tag"], "left_anti").drop("_id", "_tag")
+    i, t = own_names(docs, "id", "tag")
+    gone = few(gone.select(id_key(gone, "id").alias(i), F.col("tag").alias(t)).distinct())
+    keyed = docs.withColumns({i: id_key(docs, id_col), t: F.xxhash64(text_col)})
+    return keyed.join(gone, [i, t], "left_anti").drop(i, t)
