@@ -10,7 +10,6 @@ from textlattice.llm.quality import quality_rules
 
 from .test_lines import brute as brute_lines
 from .test_quality import brute as brute_stats
-from .test_simhash import brute as brute_near
 
 
 def corpus():
@@ -84,16 +83,6 @@ def test_line_stage_equals_brute_force(spark):
     assert all(r.n_chars == len(r.text) for r in got.collect() if r.text is not None)
 
 
-def test_near_stage_equals_brute_force(spark):
-    rows = corpus()
-    docs = spark.createDataFrame(rows, SCHEMA)
-    root = {k: c for k, _, c in brute_near([r[:2] for r in rows], CP.DISTANCE, CP.SHINGLE)}
-    want = sorted(str(r) for r in rows if r[0] is not None and root[r[0]] == r[0] or r[0] is None and root[None] is None)
-    got = CP.near_stage(spark, docs, "")
-    assert got.columns == docs.columns
-    assert sorted(str(tuple(r)) for r in got.collect()) == want
-
-
 def test_mixing_stage(spark):
     rows = corpus()
     docs = spark.createDataFrame(rows, SCHEMA)
