@@ -2,10 +2,12 @@
 
 Fitting: from a bounded sample of labelled rows, terms whose document shares differ between the
 labels (by a two-proportion z) make the vocabulary; their document frequencies are counted over the
-whole corpus.  The labelled examples go into an inverted index whose documents lie in blocks; for
-each term and block the largest weight is kept.  A text opens blocks by falling upper bound until
-the bound is under its k-th cosine, which makes the neighbours exact.  Their votes, weighted by
-cosine distance, pass through an isotonic fit of leave-one-out votes to give a probability.
+whole corpus, and a term's weight is its TF-IDF times its |z|, so that the many terms that say
+little about the label count for little.  The labelled examples go into an inverted index whose
+documents lie in blocks; for each term and block the largest weight is kept.  A text opens blocks by
+falling upper bound until the bound is under its k-th cosine, which makes the neighbours exact.
+Their votes, weighted by cosine distance, pass through an isotonic fit of leave-one-out votes to
+give a probability.
 """
 
 from __future__ import annotations
@@ -22,10 +24,10 @@ from pyspark.sql import functions as F
 
 from .common import rows, scratch, stored, tasks
 
-#: Bounds of the fitted model: labelled rows, terms, documents of a block, neighbours.
-LABELLED, TERMS, BLOCK, NEAREST = 12_000, 4096, 64, 15
-#: Least z of a term, and least labelled documents that have it.
-LEAST_Z, LEAST_DOCS = 4.0, 4
+#: Bounds of the fitted model: labelled rows, documents of a block, neighbours.
+LABELLED, BLOCK, NEAREST = 12_000, 64, 15
+#: Least |z| of a term (the usual 5 % level), and least labelled documents that have it.
+LEAST_Z, LEAST_DOCS = 2.0, 4
 WORD = re.compile(r"\w+")
 
 
@@ -34,56 +36,53 @@ def words(text: str | None) -> list[str]:
 
 
 class Examples:
-    """The inverted index; a document's weights are TF-IDF with unit length."""
+    """The inverted index; a document's weights have unit length."""
 
     def __init__(self, ids: list[int], vectors: list[dict[int, float]], labels: list[int]):
         # Documents with like terms share blocks, so that bounds differ between blocks.
         order = sorted((i for i in range(len(ids)) if vectors[i]), key=lambda i: (sorted(vectors[i].items(), key=lambda x: (-x[1], x[0])), ids[i]))
         self.ids = [ids[i] for i in order]
         self.labels = np.array([labels[i] for i in order], float)
-        self.n_blocks = -(-len(order) // BLOCK)
-        lists: dict[int, list[tuple[int, float]]] = {}
-        for at, i in enumerate(order):
-            for t, w in vectors[i].items():
-                lists.setdefault(t, []).append((at, w))
-        self.lists = {}
-        for t, found in lists.items():
-            docs, weights = np.array([d for d, _ in found]), np.array([w for _, w in found])
-            edge = np.searchsorted(docs, np.arange(self.n_blocks + 1) * BLOCK)
-            top = np.zeros(self.n_blocks)
-            for b in np.unique(docs // BLOCK):
-                top[b] = weights[edge[b] : edge[b + 1]].max()
-            self.lists[t] = (docs, weights, edge, top)
+        self.n_terms = max((t for v in vectors for t in v), default=-1) + 1
+        self.blocks = []
+        self.tops = np.zeros((self.n_terms, -(-len(order) // BLOCK)))
+        for b in range(self.tops.shape[1]):
+            # The block's postings, by term.
+            found = sorted((t, at, w) for at, i in enumerate(order[b * BLOCK : (b + 1) * BLOCK]) for t, w in vectors[i].items())
+            term, row, weight = (np.array(x) for x in zip(*found))
+            np.maximum.at(self.tops[:, b], term, weight)
+            self.blocks.append((term.astype(np.int32), row.astype(np.int32), weight))
 
     def nearest(self, vector: dict[int, float], k: int, skip: int | None = None) -> list[tuple[float, int]]:
         """The k largest positive cosines as ``(cosine, position)``; ties to the earlier position."""
-        query = [(w, *self.lists[t]) for t, w in vector.items() if t in self.lists]
+        query = [(t, w) for t, w in vector.items() if t < self.n_terms]
         if not query:
             return []
-        bound = sum(w * top for w, _, _, _, top in query)
+        terms, weights = (np.array(x) for x in zip(*query))
+        dense = np.zeros(self.n_terms)
+        dense[terms] = weights
+        bound = weights @ self.tops[terms]
         best: list[tuple[float, int]] = []
         for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(best) == k and bound[b] < best[-1][0] - 1e-12:
+            if bound[b] <= 0 or len(best) == k and bound[b] < best[-1][0] - 1e-9:
                 break
-            score = np.zeros(BLOCK)
-            for w, docs, weights, edge, _ in query:
-                a, e = edge[b], edge[b + 1]
-                if e > a:
-                    score[docs[a:e] - b * BLOCK] += w * weights[a:e]
-            score = np.round(score, 12)
-            hits = [(float(score[i]), b * BLOCK + int(i)) for i in np.flatnonzero(score > 0) if b * BLOCK + int(i) != skip]
-            best = sorted(best + hits, key=lambda x: (-x[0], x[1]))[:k]
+            term, row, weight = self.blocks[b]
+            score = np.round(np.bincount(row, dense[term] * weight, BLOCK), 12)
+            least = best[-1][0] if len(best) == k else 0.0
+            hits = [(float(score[i]), b * BLOCK + i) for i in np.flatnonzero((score > 0) & (score >= least)).tolist() if b * BLOCK + i != skip]
+            if hits:
+                best = sorted(best + hits, key=lambda x: (-x[0], x[1]))[:k]
         return best
 
 
 class Model:
-    def __init__(self, index: Examples, idf: dict[int, float], vocabulary: dict[str, int], prior: float, base: float):
-        self.index, self.idf, self.vocabulary, self.prior, self.base = index, idf, vocabulary, prior, base
+    def __init__(self, index: Examples, weight: list[float], prior: float, base: float):
+        self.index, self.weight, self.prior, self.base = index, weight, prior, base
         self.steps = np.array([0.0]), np.array([base])
         self.cache: dict = {}
 
     def vector(self, counts: dict[int, int]) -> dict[int, float]:
-        raw = {t: (1 + math.log(n)) * self.idf[t] for t, n in counts.items()}
+        raw = {t: (1 + math.log(n)) * self.weight[t] for t, n in counts.items()}
         size = math.sqrt(sum(w * w for w in raw.values()))
         return {t: w / size for t, w in raw.items()} if size else {}
 
@@ -122,8 +121,8 @@ class Model:
         return self.cache[key]
 
 
-def _vocabulary(sample: DataFrame) -> list[str]:
-    """Terms by falling |z| of their document shares under the two labels; ``sample`` is bounded."""
+def _vocabulary(sample: DataFrame) -> dict[str, float]:
+    """Terms by falling |z| of their document shares under the two labels, with it; ``sample`` is bounded."""
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count: Counter = Counter()
@@ -139,12 +138,12 @@ def _vocabulary(sample: DataFrame) -> list[str]:
     )
     total = by.filter("term is null").collect()
     if not total or not total[0].one or not total[0].zero:
-        return []
+        return {}
     n1, n0 = total[0].one, total[0].zero
     both = (F.col("one") + F.col("zero")) / (n1 + n0)
     z = (F.col("one") / n1 - F.col("zero") / n0) / F.sqrt(both * (1 - both) * (1 / n1 + 1 / n0))
     picked = by.filter("term is not null").filter(F.col("one") + F.col("zero") >= LEAST_DOCS).withColumn("z", F.abs(z)).filter(F.col("z") >= LEAST_Z)
-    return [r.term for r in picked.orderBy(F.desc("z"), "term").limit(TERMS).collect()]
+    return {r.term: r.z for r in picked.orderBy(F.desc("z"), "term").collect()}
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, usable_label, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
@@ -153,7 +152,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, usable_label, id_col: str = "do
     A score depends on the text alone.  A null or empty text, and any other without a term of the
     vocabulary, has the share of label 1 among such examples.  Labels that are null or not 0/1 are
     not learned, nor are documents that carry both labels; with no labels every score is the
-    smoothed prior.  Repeated rows score alike; an empty table gives no rows.
+    smoothed prior.  Of examples that tie at the last neighbour, those of the larger weights, then of
+    the smaller ids, count.  Repeated rows score alike; an empty table gives no rows.
     """
     spark = docs.sparkSession
     folder = scratch(spark)
@@ -179,15 +179,24 @@ def toxicity(docs: DataFrame, labels: DataFrame, usable_label, id_col: str = "do
             )
 
     counted = stored(narrow.mapInArrow(count, f"id {kind}, terms array<int>, counts array<int>"), folder, "counted")
+
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(terms), np.int64)
+        for batch in batches:
+            total += np.bincount(batch.column(0).flatten().to_numpy(zero_copy_only=False), minlength=len(terms))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["t", "n"])
+
     n = counted.count()
-    df = {r.t: r["count"] for r in counted.select(F.explode("terms").alias("t")).groupBy("t").count().collect()}
-    idf = {t: math.log((n + 1) / (df.get(t, 0) + 1)) + 1 for t in range(len(terms))}
+    # A row for each term of the vocabulary and task at most.
+    df = {r.t: r.n for r in counted.select("terms").mapInArrow(frequencies, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).collect()} if terms else {}
+    weight = [terms[t] * (math.log((n + 1) / (df.get(i, 0) + 1)) + 1) for t, i in vocabulary.items()]
     # An id of several rows gives one example, so no more than LABELLED come.
     shown = counted.join(small, "id").groupBy("id", "label").agg(F.min(F.struct("terms", "counts")).alias("v"))
     examples = sorted((r.id, r.label, tuple(r.v.terms), tuple(r.v.counts)) for r in shown.collect())
     prior = (sum(y for _, y, _, _ in examples) + 0.5) / (len(examples) + 1)
     bare = [y for _, y, t, _ in examples if not t]
-    model = Model(Examples([], [], []), idf, vocabulary, prior, (sum(bare) + prior) / (len(bare) + 1))
+    model = Model(Examples([], [], []), weight, prior, (sum(bare) + prior) / (len(bare) + 1))
     model.index = Examples([e[0] for e in examples], [model.vector(dict(zip(e[2], e[3]))) for e in examples], [e[1] for e in examples])
     at = {i: k for k, i in enumerate(model.index.ids)}
     fitted = [(model.index.nearest(model.vector(dict(zip(t, c))), NEAREST, at[i]), y) for i, y, t, c in examples if t]
