@@ -57,3 +57,17 @@ def test_url_edges(spark):
     assert got[10][:2] == ("y:", "//z/w") and got[11] == ("é.com", "/fr/ü\n/z", "com/fr/", "allow")
     assert all(v[3] in ("allow", "block") for v in got.values())
     assert judge_urls(df.limit(0)).collect() == []
+
+
+def test_targets_and_clashing_names(spark):
+    rows = [(i, "alpha beta gamma delta epsilon " * 4, "web" if i % 3 else "books", "en" if i % 4 else "de", i % 2, 1, 2) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, theme int, _source int, _salt int")
+    out = mix(docs, targets={"lang": {"en": 1.0}, "topic": {"0": 0.25, "1": 0.75}}, topic_col="theme")
+    assert set(out.columns) == {*docs.columns, "_tokens", "_topic", "_weight", "_p", "_sampled"}
+    got = out.collect()
+    assert all(r._source == 1 and r._salt == 2 and (r._p == 0) == (r.lang == "de") for r in got)
+    # What the draw is expected to keep has the marginals asked for.
+    kept = lambda f: sum(r._p * r._tokens for r in got if f(r))
+    assert abs(kept(lambda r: r.theme == 1) / kept(lambda r: True) - 0.75) < 0.12 or max(r._p for r in got) == 1
+    mass = lambda f: sum(r._weight * r._tokens for r in got if f(r))
+    assert abs(mass(lambda r: r.theme == 1) / mass(lambda r: True) - 0.75) < 1e-6

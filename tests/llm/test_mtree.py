@@ -8,12 +8,13 @@ from textlattice.llm.mtree import exact_top_k
 
 
 def brute(rows, k, every):
-    ints = {i: [math.floor(256 * x) for x in v] for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
-    out = []
-    for q, a in ints.items():
+    ints = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    found, out = {}, []
+    for q, a in ints:
         if q % every == 0:
-            best = sorted(((-sum(x * y for x, y in zip(a, b)), i) for i, b in ints.items() if i != q))[:k]
-            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+            found.setdefault(q, []).extend((-sum(x * y for x, y in zip(a, b)), i) for i, b in ints if i != q)
+    for q, best in found.items():
+        out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(sorted(best)[:k])]
     return sorted(out)
 
 
@@ -23,6 +24,8 @@ def test_equals_brute_force(spark, monkeypatch):
     rows = [(i, [c + pick.gauss(0, 0.3) for c in centers[i % 6]]) for i in range(1500)]
     rows += [(2000 + i, list(centers[0])) for i in range(300)] + [(3000, None), (3050, [1.0, None] + [0.0] * 10), (3100, [float("nan")] * 12), (3150, [float("inf")] * 12)]
     rows += [(None, [1.0] * 12), (3200, []), (3250, [2.0, 1.0])]
+    # Ids of several rows, with like and other vectors.
+    rows += [(7, [9.0] * 12), (7, [-9.0] * 12), (8, rows[8][1]), (100, [3.0] * 12)]
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, score string")
     for tree, page in ((4096, 64), (200, 8)):
         monkeypatch.setattr(mtree, "TREE", tree)

@@ -41,20 +41,24 @@ def brute_outliers(rows):
         vec[at] = np.floor(np.array(x) * 1000 + 0.5) / 1000
         if not failed:
             groups.setdefault((lang, source), []).append(at)
-    floor = np.diag([s * s for _, s in Q.FEATURES])
+    def floored(c):
+        c = np.array(c, float)
+        np.fill_diagonal(c, np.maximum(np.diag(c), [s * s for _, s in Q.FEATURES]))
+        return c
+
     d2 = lambda x, m, c: float((x - m) @ np.linalg.solve(c, x - m))
     out = set()
     for key, at in groups.items():
         x = np.array([vec[i] for i in at])
         quart = np.percentile(x, [25, 50, 75], axis=0)
-        starts = [(quart[1], np.diag(((quart[2] - quart[0]) / 1.349) ** 2) + floor), (x.mean(0), np.cov(x.T, bias=True).reshape(5, 5) + floor)]
+        starts = [(quart[1], floored(np.diag(((quart[2] - quart[0]) / 1.349) ** 2))), (x.mean(0), floored(np.cov(x.T, bias=True).reshape(5, 5)))]
         ends = []
         for m, c in starts:
             for _ in range(4):
                 level = np.array([np.floor(Q.LEVELS * np.log2(1 + d2(v, m, c))) for v in x])
                 cut = np.sort(level)[int(np.ceil(Q.SHARE * len(x))) - 1]
                 near = x[level <= cut]
-                m, c = near.mean(0), Q.CONSISTENCY * np.cov(near.T, bias=True).reshape(5, 5) + floor
+                m, c = near.mean(0), floored(Q.CONSISTENCY * np.cov(near.T, bias=True).reshape(5, 5))
             ends.append((np.linalg.slogdet(c)[1], len(ends), m, c))
         _, _, m, c = min(ends)
         for i, v in zip(at, x):

@@ -249,6 +249,8 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
                     at += 1
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
                 yield pa.RecordBatch.from_arrays([keys.slice(start, at - start), lists, pa.array(said, pa.string())], names=["key", "ids", "decoded"])
+        # Workers are used again by later stages, which need the memory.
+        bpe.chunks, bpe.old_chunks, bpe.pieces_known, bpe.old_pieces = {}, {}, {}, {}
 
     out = narrow.mapInArrow(run, f"key {kind.simpleString()}, ids array<int>, decoded string")
     return out.withColumnRenamed("key", id_col)

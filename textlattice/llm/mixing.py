@@ -12,13 +12,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import scratch, stored
+from .common import FEW, scratch, stored
 
 MARGINS = ("source", "lang", "topic")
 #: Raking rounds, the power of the default targets, the sampled share of tokens, salts of the cells.
 ROUNDS, POWER, SHARE, SALTS = 8, 0.5, 0.5, 16
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 CONTENT = 8
+ADDED = ("_tokens", "_topic", "_weight", "_p", "_sampled")
 
 
 def words(text: Column) -> Column:
@@ -54,7 +55,8 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, r
             out = out.withColumn(f"to_{m}", F.col("_m") / F.sum(F.col("_m") / F.col("_n")).over(total)).drop("_m", "_n")
     for _ in range(rounds):
         for m in MARGINS:
-            out = out.withColumn("mass", F.col("mass") * F.col(f"to_{m}") / F.sum("mass").over(Window.partitionBy(m)))
+            # A value that targets give no share has no mass left to divide.
+            out = out.withColumn("mass", F.coalesce(F.try_divide(F.col("mass") * F.col(f"to_{m}"), F.sum("mass").over(Window.partitionBy(m))), F.lit(0.0)))
     return out
 
 
@@ -67,7 +69,7 @@ def probabilities(cells: DataFrame, share: float = SHARE, **rake_options) -> Dat
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     after = order.rowsBetween(0, Window.unboundedFollowing)
     left = share * F.sum("tokens").over(total) - F.coalesce(F.sum("tokens").over(before), F.lit(0))
-    c = left / F.sum(F.col("weight") * F.col("tokens")).over(after)
+    c = F.try_divide(left, F.sum(F.col("weight") * F.col("tokens")).over(after))
     ok = fitted.withColumn("c", c).withColumn("ok", F.col("c") * F.col("weight") <= 1)
     factor = F.max(F.when(F.col("ok"), F.struct(F.col("weight"), F.col("c")))).over(total)["c"]
     return ok.withColumn("p", F.least(F.lit(1.0), factor * F.col("weight"))).drop("c", "ok")
@@ -78,17 +80,24 @@ def _uniform(key: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed))).cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
-def mix(docs: DataFrame, share: float = SHARE, seed: int = 17, targets=None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", broadcast_cells: int = 100_000) -> DataFrame:
+def mix(docs: DataFrame, share: float = SHARE, seed: int = 17, targets=None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_col: str | None = None, broadcast_cells: int = FEW) -> DataFrame:
     """All columns of ``docs`` plus ``_tokens, _topic, _weight, _p, _sampled``.
 
     Null sources and languages are values of their own (''); documents without words weigh
     nothing and are sampled with probability 1, so that mixing never drops them by chance; the
-    draw is a hash of the id, so repeated rows (and null ids) are drawn alike; extra columns pass
-    through whatever their names (but those above); an empty table gives no rows.
+    draw is a hash of the id, so repeated rows (and null ids) are drawn alike.  ``targets`` gives
+    shares of tokens by margin and value; a value that a given margin doesn't list has share zero
+    and its documents with words are not sampled.  ``topic_col`` names a column of topics, in place
+    of the bucket of the content words.  Extra columns pass through whatever their names (but those
+    above, which are replaced); an empty table gives no rows.
     """
     spark = docs.sparkSession
     folder = scratch(spark)
-    named = with_topic(docs, text_col).withColumns({"_source": F.coalesce(F.col(source_col).cast("string"), F.lit("")), "_lang": F.coalesce(F.col(lang_col).cast("string"), F.lit(""))})
+    place = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    key, text = place[id_col], place[text_col]
+    named = with_topic(docs.toDF(*place.values()), text).withColumns({"_source": F.coalesce(F.col(place[source_col]).cast("string"), F.lit("")), "_lang": F.coalesce(F.col(place[lang_col]).cast("string"), F.lit(""))})
+    if topic_col:
+        named = named.withColumn("_topic", F.coalesce(F.col(place[topic_col]).cast("string"), F.lit("")))
     cells = named.groupBy(F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic")).agg(F.sum("_tokens").alias("tokens"))
     cells = stored(cells, folder, "cells")
     cells = stored(probabilities(cells, share, targets=targets).select("source", "lang", "topic", "weight", "p"), folder, "p").toDF("_source", "_lang", "_topic", "_weight", "_p")
@@ -96,7 +105,8 @@ def mix(docs: DataFrame, share: float = SHARE, seed: int = 17, targets=None, id_
         joined = named.join(F.broadcast(cells), ["_source", "_lang", "_topic"], "left")
     else:
         salted = cells.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        dealt = named.withColumn("_salt", F.pmod(F.xxhash64(id_col, text_col), F.lit(SALTS)).cast("int"))
+        dealt = named.withColumn("_salt", F.pmod(F.xxhash64(key, text), F.lit(SALTS)).cast("int"))
         joined = dealt.join(salted, ["_source", "_lang", "_topic", "_salt"], "left").drop("_salt")
     p = F.coalesce("_p", F.lit(1.0))
-    return joined.withColumns({"_weight": F.coalesce("_weight", F.lit(1.0)), "_p": p, "_sampled": _uniform(F.col(id_col), seed) < p}).drop("_source", "_lang")
+    out = joined.withColumns({"_weight": F.coalesce("_weight", F.lit(1.0)), "_p": p, "_sampled": _uniform(F.col(key), seed) < p})
+    return out.select(*[F.col(to).alias(c) for c, to in place.items() if c not in ADDED], *ADDED)

@@ -138,8 +138,8 @@ def exact_top_k(vectors: DataFrame, k: int, is_query: Column, id_col: str = "vec
 
     Vectors become ``floor(scale * x)`` of each component.  Null vectors and ones with a null or
     non-finite component take no part, nor do rows with a null id; shorter vectors count as filled
-    up with zeros; rows with a query's own id are not its candidates; repeated candidate rows
-    count once; other columns are not read; an empty table gives no rows.  Scores are exact while
+    up with zeros; rows with a query's own id are not its candidates; every other row is one,
+    repeated ids and vectors too; a query id of several rows has the k best of all of them; other columns are not read; an empty table gives no rows.  Scores are exact while
     inner products stay under 2^53.
     """
     spark = vectors.sparkSession
@@ -170,8 +170,9 @@ def exact_top_k(vectors: DataFrame, k: int, is_query: Column, id_col: str = "vec
 
     def build(group: pa.Table) -> pa.Table:
         raw = _matrix(group.column("v").to_pylist())
-        ids, at = np.unique(np.array(group.column("id").to_pylist(), np.int64), return_index=True)
-        m = raw[at]
+        ids = np.array(group.column("id").to_pylist(), np.int64)
+        at = np.argsort(ids, kind="stable")
+        ids, m = ids[at], raw[at]
         tree = MTree(ids, m)
         asks = np.flatnonzero(np.array([bool(v) for v in group.column("q").to_pylist()])[at])
         found, least = [], []
@@ -231,6 +232,6 @@ def exact_top_k(vectors: DataFrame, k: int, is_query: Column, id_col: str = "vec
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=FOUND)
 
     others = pairs.join(trees.select("tree", "pages"), "tree").select("pages", "block").mapInArrow(search, FOUND_DDL)
-    found = others.unionByName(trees.filter("asks is not null").select("asks").mapInArrow(own, FOUND_DDL)).distinct()
+    found = others.unionByName(trees.filter("asks is not null").select("asks").mapInArrow(own, FOUND_DDL))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

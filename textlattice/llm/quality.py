@@ -25,7 +25,7 @@ UNIT = 1000
 #: Salts of a group's parameters; levels of the ranked distance per power of two.
 SALTS, LEVELS = 16, 32
 #: Name, and least standard deviation (a share of the rows has none at all), of each transformed statistic.
-FEATURES = (("length", 0.5), ("wordlen", 0.5), ("symbols", 0.8), ("lines", 1.0), ("repeats", 0.8))
+FEATURES = (("length", 0.5), ("wordlen", 0.5), ("symbols", 0.7), ("lines", 0.9), ("repeats", 0.7))
 #: The 0.9999 quantile of chi-square with five degrees of freedom, and the factor that makes the
 #: covariance of the nearest three quarters of a normal sample in five dimensions consistent.
 CUT, CONSISTENCY, SHARE = 25.74, 1.49, 0.75
@@ -119,7 +119,7 @@ def _moments(sums: DataFrame, scale: float, *keys: str) -> DataFrame:
     for i in range(p):
         for j in range(i + 1):
             c = scale * (F.col(f"q_{i}{j}") / n / (UNIT * UNIT) - F.col(f"m_{i}") * F.col(f"m_{j}"))
-            cov[f"c_{i}{j}"] = F.greatest(c, F.lit(0.0)) + F.lit(FEATURES[i][1] ** 2) if i == j else c
+            cov[f"c_{i}{j}"] = F.greatest(c, F.lit(FEATURES[i][1] ** 2)) if i == j else c
     return _cholesky(out.withColumns(cov)).select(*keys, *PARAMS)
 
 
@@ -138,7 +138,7 @@ def judge(stats: DataFrame, folder: str, steps: int = 4, cut: float = CUT) -> Da
     # Fixed-point values of a statistic are few, so the exact percentile keeps few counts.
     mid = usable.groupBy("g1", "g2").agg(*[F.percentile(n, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(n) for n, _ in FEATURES])
     names = [n for n, _ in FEATURES]
-    cov = {f"c_{i}{j}": F.pow((F.col(names[i])[2] - F.col(names[i])[0]) / UNIT / 1.349, 2) + FEATURES[i][1] ** 2 if i == j else F.lit(0.0) for i in range(p) for j in range(i + 1)}
+    cov = {f"c_{i}{j}": F.greatest(F.pow((F.col(names[i])[2] - F.col(names[i])[0]) / UNIT / 1.349, 2), F.lit(FEATURES[i][1] ** 2)) if i == j else F.lit(0.0) for i in range(p) for j in range(i + 1)}
     mid = mid.withColumns({f"m_{i}": F.col(names[i])[1] / UNIT for i in range(p)} | cov)
     start = [_cholesky(mid).select("g1", "g2", F.lit(0).alias("start"), *PARAMS), _moments(whole, 1.0, "g1", "g2").select("g1", "g2", F.lit(1).alias("start"), *PARAMS)]
     params = stored(start[0].unionByName(start[1]), folder, "p0")
