@@ -57,31 +57,6 @@ def rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
             yield from zip(*(part.column(n).to_pylist() for n in names))
 
 
-def components(edges: DataFrame, folder: str, tag: str) -> DataFrame:
-    """Connected components of ``edges(a, b)`` as ``(node, root)``, root the smallest node.
-
-    Min-label propagation with pointer jumping: rounds grow with the logarithm of the
-    longest shortest path.  Every round is a written table; only a count reaches the driver.
-    Empty edges give no rows; repeated edges and self-loops change nothing.
-    """
-    spark = edges.sparkSession
-    both = stored(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), folder, f"{tag}-edges")
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), folder, f"{tag}-0")
-    turn = 0
-    while True:
-        turn += 1
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("root").alias("near"))
-        step = labels.join(near, labels["node"] == near["a"]).select("node", F.col("root").alias("was"), F.least("root", "near").alias("root"))
-        up = labels.select(F.col("node").alias("root"), F.col("root").alias("top"))
-        moved = stored(step.join(up, "root", "left").select("node", "was", F.coalesce(F.least("top", "root"), "root").alias("root")), folder, f"{tag}-{turn}")
-        done = moved.filter("was <> root").limit(1).count() == 0
-        forget(spark, folder, f"{tag}-{turn - 1}")
-        labels = moved.select("node", "root")
-        if done:
-            forget(spark, folder, f"{tag}-edges")
-            return labels
-
-
 def few(df: DataFrame) -> DataFrame:
     """Rows of a few numbers, marked for broadcast if they have been counted to be small."""
     return F.broadcast(df) if df.count() <= FEW else df
@@ -106,6 +81,34 @@ def own_names(docs: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def components(edges: DataFrame, folder: str, tag: str) -> DataFrame:
+    """Connected components of ``edges(a, b)`` as ``(node, root)``, root the smallest node.
+
+    Min-label propagation with pointer jumping: rounds grow with the logarithm of the
+    longest shortest path.  Every round is a written table; only a count reaches the driver.  The
+    labels are broadcast where the edges have been counted to be few, and shuffled beyond that.
+    Empty edges give no rows; repeated edges and self-loops change nothing.
+    """
+    spark = edges.sparkSession
+    both = stored(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), folder, f"{tag}-edges")
+    small = both.count() <= FEW
+    sent = F.broadcast if small else (lambda df: df)
+    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), folder, f"{tag}-0")
+    turn = 0
+    while True:
+        turn += 1
+        near = both.join(sent(labels), both["b"] == labels["node"]).groupBy("a").agg(F.min("root").alias("near"))
+        step = near.join(sent(labels), labels["node"] == near["a"]).select("node", F.col("root").alias("was"), F.least("root", "near").alias("root"))
+        up = labels.select(F.col("node").alias("root"), F.col("root").alias("top"))
+        moved = stored(step.join(sent(up), "root", "left").select("node", "was", F.coalesce(F.least("top", "root"), "root").alias("root")), folder, f"{tag}-{turn}")
+        done = moved.filter("was <> root").limit(1).count() == 0
+        forget(spark, folder, f"{tag}-{turn - 1}")
+        labels = moved.select("node", "root")
+        if done:
+            forget(spark, folder, f"{tag}-edges")
+            return labels
+
+
 def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows whose id and text hash are in ``gone(id, tag)``; null ids match null ids.
 
