@@ -25,7 +25,7 @@ def scratch(spark: SparkSession) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not re.match(r"local(\[(?!.*cluster)|$)", spark.sparkContext.master):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="textlattice-")
         spark.conf.set("spark.checkpoint.dir", base)
