@@ -124,3 +124,36 @@ def test_publish(spark, tmp_path):
     d = spark.createDataFrame([(1, "a")], "i int, s string")
     digest = files.publish(d, str(tmp_path), "lexicon")
     assert (tmp_path / "lexicon.current").read_bytes() == digest.encode() and spark.read.parquet(str(tmp_path / digest)).collect() == d.collect()
+
+
+def test_offsets_of_text_that_is_not_composed(spark):
+    text = "a \u0438\u0306 b"
+    docs = spark.createDataFrame([(1, text), (2, "a b")], "doc_id long, text string")
+    rows = Engine(spark, fixtures.lexicon(spark)).tokens(docs).orderBy("doc_id", "tok_idx").collect()
+    one = [r for r in rows if r.doc_id == 1]
+    assert [(r.text, r.start, r.end) for r in one] == [("a", 0, 1), (" ", 1, 2), ("\u0438\u0306", 2, 4), (" ", 4, 5), ("b", 5, 6)]
+    assert "".join(r.text for r in one) == text and [r.normalized for r in one] == [None, None, "\u0439", None, None]
+    assert all(r.normalized is None for r in rows if r.doc_id == 2)
+
+
+def test_multiword_alignment():
+    from textlattice.operators.align import align_sentence
+
+    gold = [(1, "x"), (2, "де"), (3, "не"), (4, "y")]
+    assert align_sentence(gold, ["x", "деНЕ", "y"], [(2, 3, "дене")]) == [("match", 0, 1, 0, 1, "exact"), ("match", 1, 2, 1, 1, "group"), ("match", 3, 1, 2, 1, "exact")]
+    assert align_sentence(gold, ["x", "де", "не", "y"], [(2, 3, "дене")])[1:3] == [("match", 1, 2, 1, 2, "group"), ("match", 3, 1, 3, 1, "exact")]
+    cut = align_sentence(gold, ["x", "де", "z", "y"], [(2, 3, "дене")])
+    assert sorted(op[0] for op in cut) == ["match", "match", "skip_gold", "skip_gold", "skip_predicted", "skip_predicted"]
+
+
+def test_private_use_characters_and_output_bound(spark):
+    from textlattice.functions import text as X
+    from textlattice.operators import transducer as T
+    from textlattice.sources import conllu as C
+
+    df = spark.createDataFrame([("a\ue000|b\\|c\\\\|d",), ("x\\",), ("",), ("|",), ("\ue001\\s\\\\n",)], "x string")
+    got = df.select(X.split_unescaped(F.col("x"), "|").alias("p"), C.spaces(F.col("x")).alias("s")).collect()
+    assert [r.p for r in got] == [["a\ue000", "b\\|c\\\\", "d"], ["x\\"], [""], ["", ""], ["\ue001\\s\\\\n"]]
+    assert [r.s for r in got] == ["a\ue000|b\\|c\\|d", "x\\", "", "|", "\ue001 \\n"]
+    arcs = [(0, 0, "a", "b" * (T.OUTPUT // 2))]
+    assert [T.Relation(arcs, [0]).lookup("a" * n)[1] for n in (2, 3)] == ["ok", "output bound"]

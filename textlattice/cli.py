@@ -40,7 +40,7 @@ def parser() -> argparse.ArgumentParser:
 def check(args: argparse.Namespace, fail) -> None:
     if args.sentence_markers and not args.copy_input:
         fail("-s needs -c")
-    if args.sentence_markers and args.format in ("json", "jsonl"):
+    if args.sentence_markers and args.format == "json":
         fail(f"-s does not go with {args.format}")
     if args.merge and not args.gram_info:
         fail("-g needs -i")
@@ -72,7 +72,7 @@ def main(argv: list[str] | None = None) -> int:
     relation = spark.read.parquet(args.relation) if args.relation and not args.no_guesser else None
     engine = Engine(spark, lexicon, fix, relation, guess_limit=args.guess_limit, ud_profile=args.ud_profile)
     d = engine.documents(spark.createDataFrame([(0, text)], "doc_id long, text string"), generate_all=args.generate_all)
-    t, f = F.col("tokens"), tuple(args.filters)
+    t, f = F.col("tokens"), tuple(g for x in args.filters for g in x.split(",") if g)
     common = {"copy_input": args.copy_input, "dictionary_only": args.dictionary_only, "filters": f}
     more = {"gram_info": args.gram_info, "merge": args.merge, "weights": args.weights, "selected_only": args.selected_only}
     said = {

@@ -7,6 +7,7 @@ cannot prove to be composed already.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -173,10 +174,12 @@ def quote_attribute(x: Column) -> Column:
 
 
 def split_unescaped(x: Column, mark: str) -> Column:
-    """Split on a mark that no backslash precedes; escapes stay in the parts."""
-    pair, kept = "\ue000", "\ue001"
-    hidden = F.replace(F.replace(x, F.lit("\\\\"), F.lit(pair)), F.lit("\\" + mark), F.lit(kept))
-    return F.transform(F.split(hidden, "\\" + mark), lambda p: F.replace(F.replace(p, F.lit(kept), F.lit("\\" + mark)), F.lit(pair), F.lit("\\\\")))
+    """Split on a mark that no backslash precedes; escapes stay in the parts, as does a backslash at the very end."""
+    m = re.escape(mark)
+    last = x.rlike(r"(?s)^[^\\]*+(?:\\.[^\\]*+)*+\\$")
+    body = F.when(last, F.substring(x, F.lit(1), F.length(x) - 1)).otherwise(x)
+    parts = F.regexp_extract_all(F.concat(body, F.lit(mark)), F.lit(rf"(?s)([^\\{m}]*+(?:\\.[^\\{m}]*+)*+){m}"), F.lit(1))
+    return F.when(last, F.transform(parts, lambda p, i: F.when(i == F.size(parts) - 1, F.concat(p, F.lit("\\"))).otherwise(p))).otherwise(parts)
 
 
 def unescape(x: Column) -> Column:

@@ -1,11 +1,13 @@
 """Alignment of gold and predicted tokens of a sentence.
 
 ``by_offsets`` is native and settles sentences whose alignment-key streams are equal and that have
-no multiword rows; ``align`` is the full dynamic program, one sentence a group.
+no multiword rows; ``align`` searches for the cheapest way through both sides of a sentence.
 """
 
 from __future__ import annotations
 
+import heapq
+import operator
 import unicodedata
 
 import pandas as pd
@@ -24,67 +26,84 @@ def key(form: str) -> str:
     return "".join(unicodedata.normalize("NFC", form).casefold().translate(FOLD).split())
 
 
-def align_sentence(gold: list[tuple[int, str]], pred: list[str], multiword: list[tuple[int, int, str]] = (), max_group: int = MAX_GROUP) -> list[tuple[str, int, int, int, int, str]]:
-    """Operations ``(kind, gold start, gold size, predicted start, predicted size, match kind)`` of least cost.
+class Sentence:
+    """Both sides of a sentence as units of alignment key, and the steps between boundaries ``(i, j)``.
 
-    Cost, compared in this order: tokens left out, tokens in groups, (g - 1)(p - 1) of groups,
-    pairs equal only after folding.  Of equal costs the operation found first stands: from each
-    cell matches by gold size then predicted size, then a gold token left out, then a predicted one.
+    A multiword row gives its first token the key of its form and the others none; a boundary
+    inside it is closed to matches.
     """
-    n, m = len(gold), len(pred)
-    place = {tok: i for i, (tok, _) in enumerate(gold)}
-    spans = {place[a]: (place[b] + 1, form) for a, b, form in multiword if a in place and b in place and place[a] <= place[b]}
 
-    def gold_key(a: int, size: int) -> str | None:
-        b = a + size
-        if any(s < b and a < e and not (a <= s and e <= b) for s, (e, _) in spans.items()):
+    def __init__(self, gold: list[tuple[int, str]], pred: list[str], multiword, max_group: int):
+        self.max_group = max_group
+        self.forms = [unicodedata.normalize("NFC", f) for _, f in gold], [unicodedata.normalize("NFC", f) for f in pred]
+        self.units = [key(f) for _, f in gold], [key(f) for f in pred]
+        at = {tok: i for i, (tok, _) in enumerate(gold)}
+        rows = {at[first]: (at[last], form) for first, last, form in multiword if first in at and last in at and at[first] <= at[last]}
+        self.closed = {i for first, (last, _) in rows.items() for i in range(first + 1, last + 1)}
+        done = 0
+        for first in sorted(rows):
+            if first >= done:
+                done = rows[first][0] + 1
+                self.units[0][first:done] = [key(rows[first][1])] + [""] * (done - first - 1)
+
+    def step(self, a: int, b: int, c: int, d: int) -> tuple[tuple[int, ...], str, str] | None:
+        """Cost, kind and match kind of the step from ``(a, b)`` to ``(c, d)``, if there is one."""
+        g, p = c - a, d - b
+        if (g, p) == (1, 0):
+            return (1, 0, 0, 0), "skip_gold", ""
+        if (g, p) == (0, 1):
+            return (1, 0, 0, 0), "skip_predicted", ""
+        if not (0 < g <= self.max_group and 0 < p <= self.max_group) or a in self.closed or c in self.closed:
             return None
-        out, i = [], a
-        while i < b:
-            e, form = spans.get(i, (0, ""))
-            if e and e <= b:
-                out.append(key(form))
-                i = e
-            else:
-                out.append(key(gold[i][1]))
-                i += 1
-        return "".join(out)
-
-    gold_keys = {(a, s): gold_key(a, s) for a in range(n) for s in range(1, min(max_group, n - a) + 1)}
-    single = [key(p) for p in pred]
-    pred_keys = {(a, s): "".join(single[a : a + s]) for a in range(m) for s in range(1, min(max_group, m - a) + 1)}
-    cost: dict[tuple[int, int], tuple[int, ...]] = {(0, 0): (0, 0, 0, 0)}
-    back: dict[tuple[int, int], tuple] = {}
-
-    def offer(at, to, add, op):
-        c = tuple(x + y for x, y in zip(cost[at], add))
-        if to not in cost or c < cost[to]:
-            cost[to], back[to] = c, (at, op)
-
-    for i in range(n + 1):
-        for j in range(m + 1):
-            if (i, j) not in cost:
+        left = "".join(self.units[0][a:c])
+        if not left or left != "".join(self.units[1][b:d]):
+            return None
+        if g == p == 1:
+            same = self.forms[0][a] == self.forms[1][b]
+            return (0, 0, 0, 1 - same), "match", "exact" if same else "normalized"
+        return (0, g + p, (g - 1) * (p - 1), 0), "match", "group"
+
+    def around(self, i: int, j: int, way: int):
+        """Boundaries a step away, ahead or behind (``way`` 1 or -1), in order of their places."""
+        n, m = len(self.units[0]), len(self.units[1])
+        near = [(i + way * g, j + way * p) for g in range(self.max_group + 1) for p in range(self.max_group + 1) if g + p == 1 or g and p]
+        return sorted((x, y) for x, y in near if 0 <= x <= n and 0 <= y <= m)
+
+    def least(self) -> dict[tuple[int, int], tuple[int, ...]]:
+        """Least costs from the start, cheapest boundary first, up to the end of both sides."""
+        end = len(self.units[0]), len(self.units[1])
+        settled: dict[tuple[int, int], tuple[int, ...]] = {}
+        open_ = [((0, 0, 0, 0), (0, 0))]
+        while open_:
+            so_far, here = heapq.heappop(open_)
+            if here in settled:
                 continue
-            for g in range(1, min(max_group, n - i) + 1):
-                k = gold_keys[i, g]
-                if not k:
-                    continue
-                for p in range(1, min(max_group, m - j) + 1):
-                    if k != pred_keys[j, p]:
-                        continue
-                    if g == p == 1:
-                        same = unicodedata.normalize("NFC", gold[i][1]) == unicodedata.normalize("NFC", pred[j])
-                        offer((i, j), (i + 1, j + 1), (0, 0, 0, int(not same)), ("match", i, 1, j, 1, "exact" if same else "normalized"))
-                    else:
-                        offer((i, j), (i + g, j + p), (0, g + p, (g - 1) * (p - 1), 0), ("match", i, g, j, p, "group"))
-            if i < n:
-                offer((i, j), (i + 1, j), (1, 0, 0, 0), ("skip_gold", i, 1, j, 0, ""))
-            if j < m:
-                offer((i, j), (i, j + 1), (1, 0, 0, 0), ("skip_predicted", i, 0, j, 1, ""))
-    out, at = [], (n, m)
-    while at != (0, 0):
-        at, op = back[at]
-        out.append(op)
+            if end in settled and so_far > settled[end]:
+                break  # boundaries of the same cost as the end can still be on the way to it
+            settled[here] = so_far
+            for to in self.around(*here, 1):
+                if to not in settled and (found := self.step(*here, *to)):
+                    heapq.heappush(open_, (tuple(map(operator.add, so_far, found[0])), to))
+        return settled
+
+
+def align_sentence(gold: list[tuple[int, str]], pred: list[str], multiword: list[tuple[int, int, str]] = (), max_group: int = MAX_GROUP) -> list[tuple[str, int, int, int, int, str]]:
+    """Operations ``(kind, gold start, gold size, predicted start, predicted size, match kind)`` of least cost.
+
+    Cost, compared in this order: tokens left out, tokens in groups, (g - 1)(p - 1) of groups,
+    pairs equal only after folding.  Of equal costs the last operation starts as early as can be,
+    on the gold side first; then the one before it, and so on.
+    """
+    sentence = Sentence(gold, pred, multiword, max_group)
+    cost = sentence.least()
+    here, out = (len(gold), len(pred)), []
+    while here != (0, 0):
+        for was in sentence.around(*here, -1):
+            found = sentence.step(*was, *here) if was in cost else None
+            if found and tuple(map(operator.add, cost[was], found[0])) == cost[here]:
+                out.append((found[1], was[0], here[0] - was[0], was[1], here[1] - was[1], found[2]))
+                here = was
+                break
     return out[::-1]
 
 
@@ -92,7 +111,7 @@ def align(gold: DataFrame, pred: DataFrame, multiword: DataFrame | None = None,
     """Operations of every sentence of ``gold(sent_id, ordinal, tok_id, form)`` and ``pred(sent_id, tok_idx, text)``.
 
     Sentences are packed to one row a side (arrays bounded by sentence length) and joined, so the
-    program runs inside one Arrow map.
+    search runs inside one Arrow map.
     """
     ordered = lambda df, *cols: F.sort_array(F.collect_list(F.struct(*cols)))
     g = gold.groupBy("sent_id").agg(ordered(gold, "ordinal", "tok_id", "form").alias("g"))

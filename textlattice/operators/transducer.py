@@ -45,10 +45,10 @@ class Relation:
         if any(c not in self.symbols for c in word):
             return [], "unknown symbol"
         found: set[tuple[str, ...]] = set()
-        stack: list[tuple[int, int, tuple[str, ...]]] = [(0, 0, ())]
+        stack: list[tuple[int, int, tuple[str, ...], int]] = [(0, 0, (), 0)]
         steps = 0
         while stack:
-            state, at, out = stack.pop()
+            state, at, out, said = stack.pop()
             steps += 1
             if steps > STEPS:
                 return [], "step bound"
@@ -58,8 +58,9 @@ class Relation:
                     return [], "candidate bound"
             for sym, move in ((("", 0), (word[at], 1)) if at < len(word) else (("", 0),)):
                 for dst, o in self.by.get((state, sym), ()):
-                    if len(out) < OUTPUT:
-                        stack.append((dst, at + move, (*out, o)))
+                    if said + len(o) > OUTPUT:
+                        return [], "output bound"
+                    stack.append((dst, at + move, (*out, o), said + len(o)))
         ordered = sorted(found, key=lambda v: [self.ids[s] for s in v])
         return ["".join(v) for v in ordered], "ok"
 

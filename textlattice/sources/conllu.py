@@ -29,10 +29,10 @@ def misc(x: Column) -> Column:
 
 def spaces(x: Column) -> Column:
     r"""Decodes ``\s \n \t \r \p \\`` from left to right."""
-    hidden = F.replace(x, F.lit("\\\\"), F.lit("\ue000"))
-    for a, b in (("\\s", " "), ("\\n", "\n"), ("\\t", "\t"), ("\\r", "\r"), ("\\p", "|")):
-        hidden = F.replace(hidden, F.lit(a), F.lit(b))
-    return F.replace(hidden, F.lit("\ue000"), F.lit("\\"))
+    known = {"\\s": " ", "\\n": "\n", "\\t": "\t", "\\r": "\r", "\\p": "|", "\\\\": "\\"}
+    pieces = F.regexp_extract_all(x, F.lit(r"(?s)(\\.|[^\\]++|\\)"), F.lit(1))
+    table = F.create_map(*[F.lit(y) for kv in known.items() for y in kv])
+    return F.array_join(F.transform(pieces, lambda p: F.coalesce(F.try_element_at(table, p), p)), "")
 
 
 def _value(m: Column, key: str) -> Column:
