@@ -44,17 +44,32 @@ class Examples:
         self.ids = [ids[i] for i in order]
         self.labels = np.array([labels[i] for i in order], float)
         self.n_terms = max((t for v in vectors for t in v), default=-1) + 1
-        self.blocks = []
+        # By document: where its entries start, their terms and weights.
+        self.at = np.concatenate([[0], np.cumsum([len(vectors[i]) for i in order])]).astype(np.int64)
+        self.term = np.array([t for i in order for t in vectors[i]], np.int64)
+        self.weight = np.array([w for i in order for w in vectors[i].values()], float)
+        # By term: documents with weights, and the largest weight of each block.
+        row = np.repeat(np.arange(len(order)), np.diff(self.at))
+        by = np.argsort(self.term, kind="stable")
+        self.docs, self.said = row[by], self.weight[by]
+        self.edge = np.searchsorted(self.term[by], np.arange(self.n_terms + 1))
         self.tops = np.zeros((self.n_terms, -(-len(order) // BLOCK)))
-        for b in range(self.tops.shape[1]):
-            # The block's postings, by term.
-            found = sorted((t, at, w) for at, i in enumerate(order[b * BLOCK : (b + 1) * BLOCK]) for t, w in vectors[i].items())
-            term, row, weight = (np.array(x) for x in zip(*found))
-            np.maximum.at(self.tops[:, b], term, weight)
-            self.blocks.append((term.astype(np.int32), row.astype(np.int32), weight))
+        np.maximum.at(self.tops, (self.term, row // BLOCK), self.weight)
+        self.most = self.tops.max(1, initial=0)
+
+    def cosines(self, dense: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Of documents ``rows`` with a query as an array over the terms; each sums in the order of its own terms."""
+        sizes = self.at[rows + 1] - self.at[rows]
+        at = np.arange(int(sizes.sum())) + np.repeat(self.at[rows] - (np.cumsum(sizes) - sizes), sizes)
+        return np.round(np.bincount(np.repeat(np.arange(len(rows)), sizes), dense[self.term[at]] * self.weight[at], len(rows)), 12)
 
     def nearest(self, vector: dict[int, float], k: int, skip: int | None = None) -> list[tuple[float, int]]:
-        """The k largest positive cosines as ``(cosine, position)``; ties to the earlier position."""
+        """The k largest positive cosines as ``(cosine, position)``; ties to the earlier position.
+
+        The blocks of the largest bounds give a first k-th cosine.  Terms that together can't reach
+        it open no document: the others' postings in blocks that can reach it name the candidates,
+        whose partial sums leave few to be scored in full.
+        """
         query = [(t, w) for t, w in vector.items() if t < self.n_terms]
         if not query:
             return []
@@ -62,17 +77,33 @@ class Examples:
         dense = np.zeros(self.n_terms)
         dense[terms] = weights
         bound = weights @ self.tops[terms]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(best) == k and bound[b] < best[-1][0] - 1e-9:
-                break
-            term, row, weight = self.blocks[b]
-            score = np.round(np.bincount(row, dense[term] * weight, BLOCK), 12)
-            least = best[-1][0] if len(best) == k else 0.0
-            hits = [(float(score[i]), b * BLOCK + i) for i in np.flatnonzero((score > 0) & (score >= least)).tolist() if b * BLOCK + i != skip]
-            if hits:
-                best = sorted(best + hits, key=lambda x: (-x[0], x[1]))[:k]
-        return best
+        first = np.argsort(-bound, kind="stable")[: 1 + k // BLOCK + 1]
+        rows = (first[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+        rows = rows[rows < len(self.ids)]
+        scores = self.cosines(dense, rows)
+        if skip is not None:
+            scores[rows == skip] = 0
+        least = float(np.sort(scores)[-k]) if len(scores) >= k else 0.0
+        reach = weights * self.most[terms]
+        order = np.argsort(-reach, kind="stable")
+        # What the terms from here on can add at most.
+        rest = np.append(np.cumsum(reach[order][::-1])[::-1], 0.0)
+        part, n = np.zeros(len(self.ids)), 0
+        while n < len(order) and rest[n] >= least - 1e-9:
+            # Twice as many terms each time; a partial sum is a lower bound of a cosine.
+            now = order[n : 2 * n + 4]
+            lists = [slice(self.edge[t], self.edge[t + 1]) for t in terms[now].tolist()]
+            part += np.bincount(np.concatenate([self.docs[x] for x in lists]), np.concatenate([self.said[x] * w for x, w in zip(lists, weights[now].tolist())]), len(part))
+            n += len(now)
+            if skip is not None:
+                part[skip] = 0
+            if len(part) >= k:
+                least = max(least, float(np.partition(part, -k)[-k]))
+        rows = np.flatnonzero((part > 0) & (part + rest[n] >= least - 1e-9))
+        rows = rows[bound[rows // BLOCK] >= least - 1e-9]
+        scores = self.cosines(dense, rows)
+        best = np.lexsort((rows, -scores))[:k]
+        return [(float(scores[i]), int(rows[i])) for i in best.tolist() if scores[i] > 0]
 
 
 class Model:
@@ -198,10 +229,24 @@ def toxicity(docs: DataFrame, labels: DataFrame, usable_label, id_col: str = "do
     bare = [y for _, y, t, _ in examples if not t]
     model = Model(Examples([], [], []), weight, prior, (sum(bare) + prior) / (len(bare) + 1))
     model.index = Examples([e[0] for e in examples], [model.vector(dict(zip(e[2], e[3]))) for e in examples], [e[1] for e in examples])
-    at = {i: k for k, i in enumerate(model.index.ids)}
-    fitted = [(model.index.nearest(model.vector(dict(zip(t, c))), NEAREST, at[i]), y) for i, y, t, c in examples if t]
-    fitted = [(model.vote(near), y) for near, y in fitted if near]
-    model.calibrate(np.array([v for v, _ in fitted]), np.array([float(y) for _, y in fitted]))
+    unfit = spark.sparkContext.broadcast(model)
+
+    def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = unfit.value
+        x = m.index
+        for batch in batches:
+            out = []
+            for i in batch.column(0).to_pylist():
+                own = slice(x.at[i], x.at[i + 1])
+                near = x.nearest(dict(zip(x.term[own].tolist(), x.weight[own].tolist())), NEAREST, i)
+                if near:
+                    out.append((m.vote(near), float(x.labels[i])))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64()) for c in (zip(*out) if out else ([], []))], names=["vote", "label"])
+
+    # At most LABELLED votes reach the driver.
+    fitted = spark.range(len(model.index.ids), numPartitions=tasks(spark)).mapInArrow(left_out, "vote double, label double").collect()
+    fitted = sorted((r.vote, r.label) for r in fitted)
+    model.calibrate(np.array([v for v, _ in fitted]), np.array([y for _, y in fitted]))
     held = spark.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
