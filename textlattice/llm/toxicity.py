@@ -245,6 +245,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, usable_label, id_col: str = "do
 
     # At most LABELLED votes reach the driver.
     fitted = spark.range(len(model.index.ids), numPartitions=tasks(spark)).mapInArrow(left_out, "vote double, label double").collect()
+    unfit.destroy()
     fitted = sorted((r.vote, r.label) for r in fitted)
     model.calibrate(np.array([v for v, _ in fitted]), np.array([y for _, y in fitted]))
     held = spark.sparkContext.broadcast(model)
