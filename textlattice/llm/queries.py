@@ -1,4 +1,4 @@
-"""The thin queries of the ten operators, and their DuckDB SQL where SQL can say it."""
+"""The thin queries of the thirteen operators, and their DuckDB SQL where SQL can say it."""
 
 from __future__ import annotations
 
@@ -232,3 +232,83 @@ docs AS (SELECT *, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20
 ORACLES["op3_mixing"] = "WITH " + MIX_SQL.format(source="documents", rake=_rake_sql()) + (
     "SELECT doc_id, source, lang, topic, n_tokens, round(weight, 6) AS weight, round(p, 6) AS p, sampled FROM drawn"
 )
+
+
+@query
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each source of a language is from the others, and the terms that set it apart."""
+    from .divergence import source_divergence
+
+    return source_divergence(table(spark, sf_dir, "documents"), least_docs=10, top=10)
+
+
+ORACLES["op11_divergence"] = r"""
+WITH d AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+), kept AS (
+  SELECT lang, term FROM (SELECT lang, unnest(list_distinct(terms)) AS term FROM d) GROUP BY ALL HAVING count(*) >= 10
+), groups AS (SELECT DISTINCT lang, source FROM d
+), occ AS (SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(terms) AS term FROM d) GROUP BY ALL
+), cells AS (
+  SELECT g.lang, g.source, k.term, coalesce(o.n, 0) AS n FROM groups g JOIN kept k ON g.lang = k.lang
+  LEFT JOIN occ o ON o.lang = g.lang AND o.source = g.source AND o.term = k.term
+), gp AS (
+  SELECT *, 1 + 1000000000 * (n + 2) // (sum(n) OVER w + 2 * count(*) OVER w) AS p FROM cells WINDOW w AS (PARTITION BY lang, source)
+), lp AS (
+  SELECT lang, term, 1 + 1000000000 * (n + 2) // (sum(n) OVER w + 2 * count(*) OVER w) AS q
+  FROM (SELECT lang, term, sum(n) AS n FROM cells GROUP BY ALL) WINDOW w AS (PARTITION BY lang)
+), pair AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM gp a JOIN gp b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), pairs AS (
+  SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(p.value, 0) AS value
+  FROM groups g JOIN groups h ON g.lang = h.lang AND g.source <> h.source
+  LEFT JOIN pair p ON p.lang = g.lang AND p.source = g.source AND p.item = h.source
+), terms AS (
+  SELECT gp.lang, source, 'term' AS part, gp.term AS item, (p - q) * (p - q) // (p + q) AS value
+  FROM gp JOIN lp ON gp.lang = lp.lang AND gp.term = lp.term WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS r FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(r AS INT) AS rank FROM ranked WHERE part = 'pair' OR r <= 10
+"""
+
+
+@query
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of every document, a tenth of which the contract makes periodic."""
+    from .runs import collapse_runs
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    n = F.size("words").cast("long")
+    docs = docs.select("doc_id", "text", g.alias("g"), F.when(h % 10 == 0, words).alias("words"))
+    a = F.when(n > 0, F.col("g") % n)
+    docs = docs.select("*", n.alias("n"), a.alias("a")).withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    tail = F.slice(F.flatten(F.array_repeat(F.slice("words", (F.col("a") + 1).cast("int"), F.col("p").cast("int")), F.expr("cast((n - a) div p + 1 as int)"))), F.lit(1), F.expr("cast(n - a as int)"))
+    periodic = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a").cast("int")), tail), " ")
+    out = collapse_runs(docs.select("doc_id", F.when(F.col("n") > 0, periodic).otherwise(F.col("text")).alias("text")), least=6, power=4)
+    # Exact: the first of the greatest quotients, compared crosswise; runs come by start and period.
+    best = F.aggregate("runs", F.lit(None).cast("struct<start: long, length: long, period: long>"), lambda x, r: F.when(
+        x.isNull() | (r["length"] * x["period"] > x["length"] * r["period"]), r).otherwise(x))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    out = out.select("doc_id", "runs", "collapsed", best.alias("best"), lines.alias("lines"))
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"), F.sha2(F.array_join("lines", ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@query
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: the stated patterns' matches, and what the character models add."""
+    from .secrets import KINDS, scan_secrets
+
+    out = scan_secrets(table(spark, sf_dir, "documents"))
+    said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    base = F.filter("spans", lambda s: s["order"] < len(KINDS))
+    counts = [F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}") for k, _, _ in KINDS]
+    return out.select("doc_id", *counts, F.sha2(said(base), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
