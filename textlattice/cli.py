@@ -77,7 +77,7 @@ def main(argv: list[str] | None = None) -> int:
     more = {"gram_info": args.gram_info, "merge": args.merge, "weights": args.weights, "selected_only": args.selected_only}
     said = {
         "text": lambda: S.to_text(t, newline=args.newline, lemmas_only=args.lemmas_only, sentence_markers=args.sentence_markers, **common, **more), "json": lambda: S.to_json(t, newline=args.newline, **common, **more),
-        "jsonl": lambda: S.to_jsonl(t, profile=args.ud_profile, **common), "xml": lambda: S.to_xml(t, sentence_markers=args.sentence_markers, **common, **more), "conllu": lambda: S.to_conllu(t, args.dictionary_only, f),
+        "jsonl": lambda: S.to_jsonl(t, F.col("spans"), profile=args.ud_profile, **common), "xml": lambda: S.to_xml(t, sentence_markers=args.sentence_markers, **common, **more), "conllu": lambda: S.to_conllu(t, args.dictionary_only, f),
     }[args.format]()
     row = d.select(said.alias("said")).first()
     out = "" if row is None else row.said

@@ -11,6 +11,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -61,18 +62,47 @@ def with_offsets(surfaces: Column) -> Column:
     return F.aggregate(surfaces, zero, step, lambda acc: acc["out"])
 
 
+def _end_series(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for s in batches:
+        yield s.map(lambda x: None if x is None else np.cumsum(x, dtype=np.int32))
+
+
+def token_ends(surfaces: Column) -> Column:
+    """Ends of the surfaces of a partition: running sums of their lengths, in linear time."""
+    return F.pandas_udf(_end_series, "array<int>")(F.transform(surfaces, F.length))
+
+
 def explode_tokens(df, id_col: str = "doc_id", text_col: str = "text"):
-    """Rows (id, tok_idx, text, start, end) in linear time: offsets are differences of prefix lengths.
+    """Rows (id, tok_idx, text, start, end) in linear time and without an exchange.
 
-    A window over each document's tokens; texts of any length stay linear (``with_offsets`` copies
-    its array and suits short texts only).
+    Offsets are made inside the row, so repeated and null ids are documents each.
     """
-    from pyspark.sql import Window
-
-    t = df.select(F.col(id_col), F.posexplode(tokens(F.col(text_col))).alias("tok_idx", "text"))
-    w = Window.partitionBy(id_col).orderBy("tok_idx").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum(F.length("text")).over(w).cast("int")
-    return t.select("*", end.alias("end")).select(id_col, "tok_idx", "text", (F.col("end") - F.length("text")).alias("start"), "end")
+    t = df.select(F.col(id_col), tokens(F.col(text_col)).alias("_text"))
+    t = t.select(id_col, "_text", token_ends(F.col("_text")).alias("_end"))
+    t = t.select(id_col, F.posexplode(F.arrays_zip("_text", "_end")).alias("tok_idx", "_t"))
+    return t.select(id_col, "tok_idx", F.col("_t._text").alias("text"), (F.col("_t._end") - F.length("_t._text")).alias("start"), F.col("_t._end").alias("end"))
+
+
+def _placed_frames(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    for lengths, texts in batches:
+        ends, given = [], []
+        for n, text in zip(lengths, texts):
+            e = None if n is None else np.cumsum(n, dtype=np.int32)
+            if text is None or e is None:
+                given.append(None)
+            else:
+                e = np.array(_boundaries(text)[1], np.int32)[e] if len(e) else e
+                given.append([text[i:j] for i, j in zip([0, *e.tolist()], e.tolist())])
+            ends.append(e)
+        yield pd.DataFrame({"ends": ends, "given": given})
+
+
+def placed(surfaces: Column, given: Column) -> Column:
+    """Struct (ends, given) of the tokens of a composed text in the text as given.
+
+    ``given`` is null where composing changes nothing: then there are no other surfaces.
+    """
+    return F.pandas_udf(_placed_frames, "ends array<int>, given array<string>")(F.transform(surfaces, F.length), given)
 
 
 def casefold(x: Column) -> Column:

@@ -6,15 +6,22 @@ readings are parsed and projected, and the result is joined back to the tokens.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textlattice.functions import readings as R
 from textlattice.functions import text as X
+from textlattice.operators import intervals
+from textlattice.operators import phrases as phrases_in
+from textlattice.plans.session import shared_folder
 from textlattice.schemas import READINGS, check_profile
 
-#: Bounds of a phrase: tokens and characters.
-PHRASE_TOKENS, PHRASE_CHARS = 8, 96
+#: A surface is hot if it is more than one in so many tokens: there are fewer hot ones than this.
+HOT = 1000
+#: Surfaces, and readings of them, up to which all are broadcast.
+FEW_SURFACES = 50_000
 #: Fixed value: single characters that a backend stream reserves; they read as themselves.
 PROTECTED = tuple("\\^$/<>{}[]@#*+~|=&`")
 
@@ -60,6 +67,42 @@ def surface_readings(surfaces: DataFrame, lexicon: DataFrame, fixlist: DataFrame
     return s.select("surface", X.kind_with_readings(F.col("surface"), F.transform("readings", lambda r: r["upos"])).alias("kind"), "readings")
 
 
+def read_tokens(t: DataFrame, lexicon: DataFrame, fixlist: DataFrame | None = None, guesses: DataFrame | None = None, profile: str = "universal", surface_col: str = "text") -> DataFrame:
+    """Token rows with ``kind, readings, selected, sentence_end``, which replace columns of these names.
+
+    Surfaces are evaluated once each and written.  If they have been counted to be few they are
+    broadcast; else the hot ones are, of which there are fewer than HOT, and the other tokens meet
+    theirs in a join in which white space and hot tokens are dealt out evenly.
+    """
+    spark = t.sparkSession
+    space = F.col(surface_col).rlike(f"^[{X.WS}]+$")
+    counts = t.filter(~space).groupBy(F.col(surface_col).alias("surface")).agg(F.count("*").alias("n_tokens"))
+    path = f"{shared_folder(spark)}/surfaces-{uuid.uuid4().hex}"
+    counts.write.parquet(f"{path}/counts")
+    counts = spark.read.schema("surface string, n_tokens long").parquet(f"{path}/counts")
+    surface_readings(counts, lexicon, fixlist, guesses, profile).write.parquet(f"{path}/found")
+    found = spark.read.schema(f"surface string, kind string, readings {READINGS}").parquet(f"{path}/found")
+    n, n_readings = found.agg(F.count("*"), F.sum(F.size("readings"))).first()
+    t = t.drop("kind", "readings", "selected", "sentence_end")
+    own_cols = ("_key", "_s0", "_k0", "_r0", "_s1", "_k1", "_r1")
+    own = lambda df, x: df.select(F.col("surface").alias(f"_s{x}"), F.col("kind").alias(f"_k{x}"), F.col("readings").alias(f"_r{x}"))
+    if n + (n_readings or 0) <= FEW_SURFACES:
+        t = t.join(F.broadcast(own(found, 0)), F.col(surface_col) == F.col("_s0"), "left")
+        kind, read = F.col("_k0"), F.col("_r0")
+    else:
+        total = counts.agg(F.sum("n_tokens")).first()[0]
+        hot = counts.filter(F.col("n_tokens") * HOT > total).select("surface")
+        t = t.join(F.broadcast(own(found.join(F.broadcast(hot), "surface", "left_semi"), 0)), F.col(surface_col) == F.col("_s0"), "left")
+        # No surface begins with a space and goes on.
+        key = F.when(space | F.col("_s0").isNotNull(), F.concat(F.lit(" "), F.pmod(F.xxhash64(*t.columns[:3]), F.lit(9973)).cast("string"))).otherwise(F.col(surface_col))
+        t = t.withColumn("_key", key).join(own(found.join(F.broadcast(hot), "surface", "left_anti"), 1), F.col("_key") == F.col("_s1"), "left")
+        kind, read = F.coalesce("_k0", "_k1"), F.coalesce("_r0", "_r1")
+    t = t.select(*[c for c in t.columns if c not in own_cols], F.coalesce(kind, F.lit("space")).alias("kind"), F.coalesce(read, empty()).alias("readings"))
+    r = F.col("readings")
+    ends = F.when(F.size(r) > 0, F.exists(r, lambda x: F.array_contains(x["tags"], "sent"))).otherwise(F.coalesce(F.col(surface_col).rlike(r"[.!?]"), F.lit(False)))
+    return t.select("*", F.when(F.size(r) == 1, F.lit(0)).alias("selected"), (ends & (F.col("kind") != "space")).alias("sentence_end"))
+
+
 def analyze(docs: DataFrame, lexicon: DataFrame, fixlist: DataFrame | None = None, guesses: DataFrame | None = None, profile: str = "universal", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Token rows ``(id, tok_idx, text, start, end, kind, readings, selected, sentence_end)``.
 
@@ -67,36 +110,26 @@ def analyze(docs: DataFrame, lexicon: DataFrame, fixlist: DataFrame | None = Non
     tagged ``sent`` or, without readings, at a surface with ``.``, ``!`` or ``?``.
     """
     t = X.explode_tokens(docs, id_col, text_col)
-    found = surface_readings(t.filter(~F.col("text").rlike(f"^[{X.WS}]+$")).select(F.col("text").alias("surface")), lexicon, fixlist, guesses, profile)
-    t = t.join(found, t["text"] == found["surface"], "left").drop("surface")
-    r = F.coalesce("readings", empty())
-    ends = F.when(F.size(r) > 0, F.exists(r, lambda x: F.array_contains(x["tags"], "sent"))).otherwise(F.coalesce(F.col("text").rlike(r"[.!?]"), F.lit(False)))
-    return t.select(
-        id_col, "tok_idx", "text", "start", "end", F.coalesce("kind", F.lit("space")).alias("kind"), r.alias("readings"),
-        F.when(F.size(r) == 1, F.lit(0)).alias("selected"), (ends & (F.coalesce("kind", F.lit("space")) != "space")).alias("sentence_end"),
-    )
+    return read_tokens(t, lexicon, fixlist, guesses, profile).select(id_col, "tok_idx", "text", "start", "end", "kind", "readings", "selected", "sentence_end")
 
 
 def phrase_spans(docs: DataFrame, phrases: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, start, end, token_start, token_end, text)`` where ``phrases(surface)`` stand in the text.
+    """``(id, start, end, token_start, token_end, text)`` where ``phrases(surface)`` stand in the text."""
+    return phrases_in.find(docs.select(F.col(id_col), X.tokens(F.col(text_col)).alias("_parts")), phrases, id_col, "_parts")
 
-    Phrases join tokens on their first token; only then is the text compared.
-    """
-    p = phrases.select(F.col("surface").alias("phrase")).distinct().withColumn("_t", X.tokens(F.col("phrase")))
-    p = p.filter((F.size("_t") >= 2) & (F.size("_t") <= PHRASE_TOKENS) & (F.length("phrase") <= PHRASE_CHARS) & F.col("phrase").rlike(f"[{X.WS}]"))
-    p = p.select("phrase", F.col("_t")[0].alias("head"), F.size("_t").alias("n"))
-    t = X.explode_tokens(docs, id_col, text_col)
-    order = Window.partitionBy(id_col).orderBy("tok_idx").rowsBetween(0, PHRASE_TOKENS - 1)
-    t = t.withColumn("ahead", F.collect_list("text").over(order))
-    hit = t.join(p, t["text"] == p["head"]).filter(F.array_join(F.slice("ahead", F.lit(1), F.col("n")), "") == F.col("phrase")).filter(F.size("ahead") >= F.col("n"))
-    return hit.select(id_col, "start", (F.col("start") + F.length("phrase")).alias("end"), F.col("tok_idx").alias("token_start"), (F.col("tok_idx") + F.col("n")).alias("token_end"), F.col("phrase").alias("text"))
+
+def span_readings(spans: DataFrame, lexicon: DataFrame, fixlist: DataFrame | None = None, profile: str = "universal") -> DataFrame:
+    """Spans with ``readings, selected, sentence_end``: those of the lexicon, to which a fixlist adds; neither is made distinct."""
+    s = spans.select(F.col("text").alias("surface")).distinct()
+    s = s.join(lexicon_readings(lexicon, profile), "surface", "left").withColumn("form_key", X.casefold(F.col("surface")))
+    s = s.join(fixlist_readings(fixlist, profile), "form_key", "left") if fixlist is not None else s.withColumn("fixed", F.lit(None).cast(READINGS))
+    s = s.select(F.col("surface").alias("_surface"), F.concat(F.coalesce("read", empty()), F.coalesce("fixed", empty())).alias("readings")).filter(F.size("readings") > 0)
+    r = F.col("readings")
+    j = spans.join(s, spans["text"] == s["_surface"]).drop("_surface")
+    return j.select("*", F.when(F.size(r) == 1, F.lit(0)).alias("selected"), F.exists(r, lambda x: F.array_contains(x["tags"], "sent")).alias("sentence_end"))
 
 
-def span_cover(tokens: DataFrame, spans: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``spans(id, span_idx, start, end)`` with the first and past-the-last token they touch."""
-    t, s = tokens.alias("t"), spans.alias("s")
-    near = s.join(t, (F.col(f"s.{id_col}") == F.col(f"t.{id_col}")) & (F.col("t.end") > F.col("s.start")) & (F.col("t.start") < F.col("s.end")))
-    return near.groupBy(F.col(f"s.{id_col}").alias(id_col), "s.span_idx", "s.start", "s.end").agg(F.min("t.tok_idx").alias("token_start"), (F.max("t.tok_idx") + 1).alias("token_end"))
+span_cover = intervals.span_cover
 
 
 def generate(lexicon: DataFrame, queries: DataFrame, limit: int = 128) -> DataFrame:
