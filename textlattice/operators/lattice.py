@@ -30,15 +30,20 @@ def empty() -> Column:
     return F.array().cast(READINGS)
 
 
+def once(x: Column) -> Column:
+    """A column that no later filter or projection copies into itself: readings are large expressions."""
+    return F.explode(F.array(x))
+
+
 def fixlist_readings(fixlist: DataFrame, profile: str = "universal") -> DataFrame:
     """``(form_key, fixed)``: the readings of each folded form, in order of ``ord``."""
-    parsed = fixlist.select("form_key", "ord", R.parse(F.col("raw"), "fixlist", profile=profile).alias("r")).filter("r is not null")
+    parsed = fixlist.select("form_key", "ord", once(R.parse(F.col("raw"), "fixlist", profile=profile)).alias("r")).filter("r is not null")
     return parsed.groupBy("form_key").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "r"))), lambda x: x["r"]).alias("fixed"))
 
 
 def lexicon_readings(lexicon: DataFrame, profile: str = "universal") -> DataFrame:
     """``(surface, read)``: all readings in candidate order, then the aliases they license."""
-    parsed = lexicon.select("surface", "cand_idx", R.parse(F.col("raw"), profile=profile).alias("r")).filter("r is not null")
+    parsed = lexicon.select("surface", "cand_idx", once(R.parse(F.col("raw"), profile=profile)).alias("r")).filter("r is not null")
     grouped = parsed.groupBy("surface").agg(F.transform(F.sort_array(F.collect_list(F.struct("cand_idx", "r"))), lambda x: x["r"]).alias("read"))
     return grouped.select("surface", F.concat("read", R.aliases(F.col("read"), F.col("surface"), profile)).alias("read"))
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textlattice.functions import readings as R
 from textlattice.functions import text as X
 from textlattice.operators import evaluate as E
 from textlattice.operators import lattice as L
@@ -240,25 +239,6 @@ def event_windows(spark, sf):
     return g.select(F.col("w.start").alias("start"), "event_type", "n")
 
 
-@query(f"""WITH {PLACED}, n AS (SELECT *, {KIND} AS kind, e - length(tok) AS s, tok IN ('\\', '^', '$', '/', '<', '>', '{{', '}}', '[', ']', '@', '#', '*', '+', '~', '|', '=', '&', '`') AS own FROM offs), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS i FROM n WHERE kind <> 'space')
-SELECT doc_id, md5(array_to_string(list(i || chr(9) || tok || chr(9) || CASE kind WHEN 'word' THEN {FOLD.format('tok')} WHEN 'number' THEN tok ELSE CASE WHEN own THEN tok ELSE '_' END END || chr(9) || CASE kind WHEN 'punct' THEN 'PUNCT' WHEN 'number' THEN 'NUM' ELSE CASE WHEN own THEN 'SYM' ELSE 'X' END END || chr(9) || '_' || chr(9) ||
-CASE kind WHEN 'number' THEN 'NumType=Card' ELSE '_' END || chr(9) || '_' || chr(9) || '_' || chr(9) || '_' || chr(9) || 'StartChar=' || s || '|EndChar=' || e || CASE WHEN own OR kind IN ('word', 'number') THEN '|Guess=Yes' ELSE '' END ORDER BY idx), chr(10)) || chr(10) || chr(10)) AS conllu_md5 FROM r GROUP BY doc_id""")
-def documents_conllu(spark, sf):
-    """CoNLL-U of every document without a lexicon, as a digest."""
-    from textlattice.operators import serialize as S
-
-    d = t(spark, sf, "documents")
-    none = spark.createDataFrame([], "surface string, cand_idx int, raw string")
-    tok = L.analyze(d, none).withColumn("sentence_end", F.lit(False)).withColumn("normalized", F.lit(None).cast("string"))
-    cols = ["tok_idx", "text", "start", "end", "kind", "sentence_end", "normalized", "selected", "readings"]
-    # Rows of one document each: whole arrays would make the step function copy the text it builds.
-    one = tok.select("doc_id", "tok_idx", "kind", S.to_conllu(F.array(F.struct(*cols))).alias("c")).filter("kind <> 'space'")
-    i = F.row_number().over(Window.partitionBy("doc_id").orderBy("tok_idx"))
-    line = one.select("doc_id", "tok_idx", F.concat(i.cast("string"), F.regexp_replace(F.regexp_replace("c", r"^1\t", "\t"), r"\n+$", "")).alias("line"))
-    g = line.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("tok_idx", "line"))), lambda x: x["line"]), "\n").alias("x"))
-    return g.select("doc_id", F.md5(F.concat("x", F.lit("\n\n")).cast("binary")).alias("conllu_md5"))
-
-
 @query("""SELECT doc_id, CASE WHEN e = 0 THEN 0 ELSE 1 END AS has_sharp_s, folded_md5 FROM (SELECT doc_id, strlen(text) - strlen(replace(text, 'ß', '')) AS e, md5(""" + FOLD.format("text") + """) AS folded_md5 FROM documents)""")
 def casefold_documents(spark, sf):
     """Case folds of whole documents."""
@@ -270,5 +250,3 @@ def nfc_documents(spark, sf):
     """Canonical composition of whole documents."""
     return t(spark, sf, "documents").select("doc_id", F.md5(X.nfc(F.col("text")).cast("binary")).alias("nfc_md5"))
 
-
-_ = (R,)
