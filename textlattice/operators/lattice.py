@@ -83,7 +83,8 @@ def read_tokens(t: DataFrame, lexicon: DataFrame, fixlist: DataFrame | None = No
     space = F.col(surface_col).rlike(f"^[{X.WS}]+$")
     counts = t.filter(~space).groupBy(F.col(surface_col).alias("surface")).agg(F.count("*").alias("n_tokens"))
     path = f"{shared_folder(spark)}/surfaces-{uuid.uuid4().hex}"
-    counts.write.parquet(f"{path}/counts")
+    # A number of files that small sizes don't lower: reading a surface is more work than its bytes show.
+    counts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "surface").write.parquet(f"{path}/counts")
     counts = spark.read.schema("surface string, n_tokens long").parquet(f"{path}/counts")
     surface_readings(counts, lexicon, fixlist, guesses, profile).write.parquet(f"{path}/found")
     found = spark.read.schema(f"surface string, kind string, readings {READINGS}").parquet(f"{path}/found")

@@ -5,16 +5,23 @@
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from textlattice.operators.numbering import numbered, running_sum
+from textlattice.plans.session import shared_folder
+
 #: Bounds of a lookup: input characters, candidates, steps, output characters.
 LONGEST, CANDIDATES, STEPS, OUTPUT = 256, 512, 250_000, 4096
 
+#: Arcs up to which a transducer is broadcast (some 100 bytes each).
+FEW_ARCS = 1_000_000
+
 #: Frontier join of words and arcs; ``{level}`` rounds at most.  Spark and DuckDB both run it.
 LOOKUP_SQL = """
 WITH RECURSIVE walk(word, state, pos, outp) AS (
@@ -68,10 +75,13 @@ class Relation:
 def lookup(words: DataFrame, arcs: DataFrame, finals: DataFrame, invert: bool = False, col: str = "word") -> DataFrame:
     """``(word, cand_idx, output, status)``: ordered outputs of distinct words; a row with null output if there are none.
 
-    The transducer is broadcast (a compiled lexicon, bounded by its own size, not by the corpus);
-    input epsilon arcs must not form cycles (``epsilon_cycles``).
+    A transducer counted to have at most FEW_ARCS arcs is broadcast; a larger one meets the words
+    in joins (``lookup_joined``).  Input epsilon arcs must not form cycles (``epsilon_cycles``).
     """
     spark = words.sparkSession
+    if arcs.count() > FEW_ARCS:
+        turned = arcs.select("src", "dst", F.col("osym").alias("isym"), F.col("isym").alias("osym")) if invert else arcs
+        return lookup_joined(words, turned, finals, col)
     rows = [(r.src, r.dst, r.osym, r.isym) if invert else (r.src, r.dst, r.isym, r.osym) for r in arcs.select("src", "dst", "isym", "osym").collect()]
     held = spark.sparkContext.broadcast((rows, [r.state for r in finals.select("state").collect()]))
 
@@ -87,6 +97,74 @@ def lookup(words: DataFrame, arcs: DataFrame, finals: DataFrame, invert: bool =
     return words.select(F.col(col).alias("word")).distinct().mapInPandas(run, "word string, cand_idx int, output string, status string")
 
 
+def lookup_joined(words: DataFrame, arcs: DataFrame, finals: DataFrame, col: str = "word") -> DataFrame:
+    """``lookup`` as rounds of joins: partial paths of all words meet the arcs by state and symbol.
+
+    A round is a written table and reads one symbol at most, so there are as many as the longest
+    word and its epsilon arcs.  A word stops at the round that takes it beyond STEPS.
+    """
+    spark = words.sparkSession
+    folder = f"{shared_folder(spark)}/paths-{uuid.uuid4().hex}"
+
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    symbols = arcs.select(F.col("osym").alias("sym")).distinct()
+    ids = stored(numbered(symbols, ["sym"], "oid"), "symbols")
+    a = stored(arcs.join(ids, arcs["osym"] == ids["sym"]).select("src", "dst", F.col("isym").alias("_isym"), F.struct("oid", "osym").alias("_o")), "arcs")
+    known = arcs.select(F.col("isym").alias("sym")).distinct()
+    asked = words.select(F.col(col).alias("word")).distinct().filter("word is not null")
+    letters = asked.filter(F.length("word") <= LONGEST).select("word", F.explode(F.regexp_extract_all("word", F.lit("(?s)."), F.lit(0))).alias("sym"))
+    odd = letters.join(known, "sym", "left_anti").select("word").distinct().withColumn("status", F.lit("unknown symbol"))
+    odd = odd.unionByName(asked.filter(F.length("word") > LONGEST).select("word", F.lit("input bound").alias("status")))
+    stopped = stored(odd, "stopped")
+    none = F.array().cast("array<struct<oid: bigint, osym: string>>")
+    front = stored(asked.join(stopped, "word", "left_anti").select("word", F.lit(0).alias("state"), F.lit(0).alias("pos"), F.lit(0).alias("said"), none.alias("out")), "front-0")
+    steps, fronts, turn = front.select("word", F.lit(0).cast("long").alias("n")).limit(0), [front], 0
+    while not fronts[-1].isEmpty():
+        turn += 1
+        front = fronts[-1]
+        steps = stored(steps.unionByName(front.groupBy("word").agg(F.count("*").alias("n"))).groupBy("word").agg(F.sum("n").alias("n")), f"steps-{turn}")
+        live = front.join(steps.filter(F.col("n") > STEPS).select("word"), "word", "left_anti")
+        sym = F.explode(F.when(F.col("pos") < F.length("word"), F.array(F.lit(""), F.substring("word", F.col("pos") + 1, F.lit(1)))).otherwise(F.array(F.lit(""))))
+        step = live.withColumn("sym", sym).join(a, (F.col("state") == F.col("src")) & (F.col("sym") == F.col("_isym")))
+        fronts.append(stored(step.select(
+            "word", F.col("dst").cast("int").alias("state"), (F.col("pos") + F.length("sym")).alias("pos"), (F.col("said") + F.length("_o.osym")).alias("said"),
+            F.when(F.col("_o.osym") == "", F.col("out")).otherwise(F.concat("out", F.array("_o"))).alias("out"),
+        ).filter(F.col("said") <= OUTPUT + 1), f"front-{turn}"))
+    every = fronts[0]
+    for front in fronts[1:]:
+        every = every.unionByName(front)
+    over = steps.filter(F.col("n") > STEPS).select("word", F.lit("step bound").alias("status"))
+    long = every.filter(F.col("said") > OUTPUT).select("word", F.lit("output bound").alias("status")).distinct()
+    done = every.filter(F.col("pos") == F.length("word")).join(F.broadcast(finals) if finals.count() <= FEW_ARCS else finals, "state", "left_semi").select("word", "out").distinct()
+    many = done.groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") > CANDIDATES).select("word", F.lit("candidate bound").alias("status"))
+    status = stopped.unionByName(over).unionByName(long).unionByName(many).groupBy("word").agg(F.min("status").alias("status"))
+    order = Window.partitionBy("word").orderBy("_ids")
+    done = done.join(status, "word", "left_anti").withColumn("_ids", F.transform("out", lambda o: o["oid"]))
+    done = done.select("word", (F.row_number().over(order) - 1).alias("cand_idx"), F.array_join(F.transform("out", lambda o: o["osym"]), "").alias("output"))
+    return asked.join(status, "word", "left").join(done, "word", "left").select("word", "cand_idx", "output", F.coalesce("status", F.lit("ok")).alias("status"))
+
+
+def compile_words(words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(arcs, finals)`` of a trie of ``words(word, tail)``: a word reads as itself and then says its tail.
+
+    States are the prefixes in order, the empty one 0, and a last one that accepts.
+    """
+    spark = words.sparkSession
+    path = f"{shared_folder(spark)}/trie-{uuid.uuid4().hex}"
+    some = words.filter(F.col("word") != "").select("word", "tail").distinct()
+    prefix = some.select(F.explode(F.transform(F.sequence(F.lit(0), F.length("word")), lambda k: F.substring("word", F.lit(1), k))).alias("prefix")).distinct()
+    numbered(prefix, ["prefix"], "state").write.parquet(path)
+    states = spark.read.schema("prefix string, state long").parquet(path)
+    n = states.count()
+    child = states.filter("prefix <> ''").select(F.col("state").alias("dst"), F.left("prefix", F.length("prefix") - 1).alias("prefix"), F.right("prefix", F.lit(1)).alias("sym"))
+    inner = child.join(states, "prefix").select(F.col("state").cast("int").alias("src"), F.col("dst").cast("int").alias("dst"), F.col("sym").alias("isym"), F.col("sym").alias("osym"))
+    last = some.join(states, F.col("word") == F.col("prefix")).select(F.col("state").cast("int").alias("src"), F.lit(n).cast("int").alias("dst"), F.lit("").alias("isym"), F.col("tail").alias("osym"))
+    return inner.unionByName(last), spark.range(1).select(F.lit(n).cast("int").alias("state"))
+
+
 def lookup_sql(spark: SparkSession, words: DataFrame, arcs: DataFrame, finals: DataFrame) -> DataFrame:
     """The same relation as a recursive query, without order or bounds."""
     for name, df in (("words", words), ("arcs", arcs), ("finals", finals)):
@@ -126,7 +204,18 @@ def difference(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def csr(arcs: DataFrame) -> DataFrame:
     """``(src, first, n)`` row offsets of arcs sorted by (src, isym, osym, dst)."""
-    from pyspark.sql import Window
+    return running_sum(arcs.groupBy("src").agg(F.count("*").alias("n")), ["src"], "n", "first").select("src", "first", "n")
+
+
+def coded(arcs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(arcs, symbols)``: arcs with ``arc`` (their place in order), ``in_id`` and ``out_id``; ``symbols(side, id, symbol)`` in order, epsilon 0."""
+    def table(side: str) -> DataFrame:
+        used = arcs.select(F.col(f"{side}sym").alias("symbol")).unionByName(arcs.sparkSession.range(1).select(F.lit("").alias("symbol"))).distinct()
+        return numbered(used, ["symbol"], "id").select(F.lit(side).alias("side"), F.col("id").cast("int").alias("id"), "symbol")
 
-    g = arcs.groupBy("src").agg(F.count("*").alias("n"))
-    return g.select("src", (F.coalesce(F.sum("n").over(Window.orderBy("src").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("first"), "n")
+    tables = {side: table(side) for side in ("i", "o")}
+    out = arcs
+    for side in ("i", "o"):
+        out = out.join(tables[side].select(F.col("symbol").alias(f"{side}sym"), F.col("id").alias("in_id" if side == "i" else "out_id")), f"{side}sym")
+    out = numbered(out.select("src", "dst", "isym", "osym", "in_id", "out_id"), ["src", "in_id", "out_id", "dst"], "arc")
+    return out, tables["i"].unionByName(tables["o"])
