@@ -5,11 +5,11 @@ import os
 import duckdb
 import pytest
 
-from textlattice.plans import corpus, derived, fixtures, readings_of_tables
+from textlattice.plans import corpus, derived, fixtures, readings_of_tables, relations_of_tables
 
 SF = "/root/testdata/sf0.001"
 QUERIES, ORACLES = {}, {}
-for part in (readings_of_tables, derived, corpus, fixtures):  # stated examples whose names are queries over tables too are tests of their own
+for part in (relations_of_tables, readings_of_tables, derived, corpus, fixtures):  # stated examples whose names are queries over tables too are tests of their own
     QUERIES |= {k if k not in QUERIES else f"stated {k}": q for k, q in part.QUERIES.items()}
     ORACLES |= {k if k not in ORACLES else f"stated {k}": q for k, q in part.ORACLES.items()}
 

@@ -22,7 +22,7 @@ def fixlist(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     has_tags = F.get_json_object("line", "$.tags").isNotNull()
     c = F.split("line", "\t")
     angle = F.regexp_extract_all(F.get(c, F.lit(2)), F.lit("<([^<>]+)>"), F.lit(1))
-    comma = F.filter(F.transform(F.split(F.get(c, F.lit(2)), ","), F.trim), lambda t: t != "")
+    comma = F.filter(F.transform(F.split(F.get(c, F.lit(2)), ","), lambda t: F.trim(t)), lambda t: t != "")
     rows = live.select(
         "line_no", is_json.alias("is_json"), F.when(is_json, j["form"]).otherwise(F.trim(F.get(c, F.lit(0)))).alias("form"), F.when(is_json, j["lemma"]).otherwise(F.trim(F.get(c, F.lit(1)))).alias("lemma"),
         F.when(is_json & ~has_tags, F.array(F.lit("x"))).when(is_json, j["tags"]).when(F.contains(F.get(c, F.lit(2)), F.lit("<")), angle).otherwise(comma).alias("tags"),
@@ -53,9 +53,10 @@ def transducer(lines: DataFrame) -> dict[str, DataFrame]:
     rows = rows.withColumn("message", bad)
     sym = lambda x: F.when(x.isin("@0@", "@_EPSILON_SYMBOL_@", "ε"), "").when(x == "@_SPACE_@", " ").when(x == "@_TAB_@", "\t").otherwise(x)
     good = rows.filter("message is null")
+    cell = lambda i: F.get("c", F.lit(i))
     return {
-        "arcs": good.filter("n >= 4").select(F.col("c")[0].cast("int").alias("src"), F.col("c")[1].cast("int").alias("dst"), sym(F.col("c")[2]).alias("isym"), sym(F.col("c")[3]).alias("osym")),
-        "finals": good.filter("n <= 2").select(F.col("c")[0].cast("int").alias("state")).distinct(),
+        "arcs": good.filter("n >= 4").select(cell(0).cast("int").alias("src"), cell(1).cast("int").alias("dst"), sym(cell(2)).alias("isym"), sym(cell(3)).alias("osym")),
+        "finals": good.filter("n <= 2").select(cell(0).cast("int").alias("state")).distinct(),
         "errors": rows.filter("message is not null").select("line_no", "message"),
     }
 
