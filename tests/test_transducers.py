@@ -62,3 +62,40 @@ def test_coded_arcs(spark):
     assert sorted((r.side, r.id, r.symbol) for r in symbols.collect()) == [("i", 0, ""), ("i", 1, "a"), ("i", 2, "b"), ("o", 0, ""), ("o", 1, "<n>"), ("o", 2, "<v>"), ("o", 3, "a"), ("o", 4, "b")]
     assert sorted((r.arc, r.src, r.in_id, r.out_id) for r in out.collect()) == [(0, 0, 2, 4), (1, 1, 0, 2), (2, 1, 1, 3), (3, 2, 0, 1)]
     assert sorted(map(tuple, D.csr(arcs).collect())) == [(0, 0, 1), (1, 1, 2), (2, 3, 1)]
+
+
+def on_cycles(edges):
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+
+    def reach(a):
+        seen, todo = set(), list(near.get(a, ()))
+        while todo:
+            x = todo.pop()
+            if x not in seen:
+                seen.add(x)
+                todo += near.get(x, ())
+        return seen
+
+    return sorted(x for x in near if x in reach(x))
+
+
+def test_epsilon_cycles_equal_brute_force(spark, monkeypatch):
+    pick = random.Random(7)
+    # Two cycles and a way between them, which is on neither.
+    fixed = [(0, 1), (1, 2), (2, 1), (2, 3), (3, 4), (4, 5), (5, 4), (6, 6), (0, 6), (0, 7)]
+    for edges in (fixed, [(0, i) for i in range(1, 12)] + [(pick.randrange(12), pick.randrange(12)) for _ in range(11)]):
+        arcs = spark.createDataFrame([(a, b, "", "x") for a, b in edges] + [(1, 0, "a", "a")], "src int, dst int, isym string, osym string")
+        monkeypatch.setattr(D, "FEW_ARCS", 1_000_000)
+        assert sorted(r.state for r in D.epsilon_cycles(arcs).collect()) == on_cycles(edges)
+    monkeypatch.setattr(D, "FEW_ARCS", 0)
+    assert sorted(r.state for r in D.epsilon_cycles(spark.createDataFrame([(a, b, "", "x") for a, b in fixed], "src int, dst int, isym string, osym string")).collect()) == on_cycles(fixed)
+
+
+def test_deep_chains_end_at_once(spark):
+    n = 100_000
+    chain = spark.range(n).select(F.col("id").cast("int").alias("src"), (F.col("id") + 1).cast("int").alias("dst"), F.lit("").alias("isym"), F.lit("").alias("osym"))
+    assert D.epsilon_cycles(chain).count() == 0
+    closed = chain.unionByName(spark.createDataFrame([(n, n - 2, "", "")], "src int, dst int, isym string, osym string"))
+    assert sorted(r.state for r in D.epsilon_cycles(closed).collect()) == [n - 2, n - 1, n]

@@ -232,23 +232,28 @@ def whole_line_prefix(df, limit: int, id_col: str = "doc_id", text_col: str = "t
     return lines.withColumn("end", F.sum(F.length("line")).over(w)).filter(F.col("end") <= limit)
 
 
+def _chunk_series(most: int):
+    lines = re.compile("[^\n]*\n|[^\n]+")
+
+    def pack(text: str) -> list[dict]:
+        out, at, parts, size = [], 0, [], 0
+        for line in lines.findall(text):
+            if parts and size + len(line) > most:
+                out.append({"start": at, "text": "".join(parts)})
+                at, parts, size = at + size, [], 0
+            parts.append(line)
+            size += len(line)
+        return out + [{"start": at, "text": "".join(parts)}] if parts else out
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield s.map(lambda x: None if x is None else pack(x))
+
+    return run
+
+
 def line_chunks(x: Column, most: int) -> Column:
-    """Array of (start, text): whole lines packed up to ``most`` characters; a longer line is one chunk."""
+    """Array of (start, text): whole lines packed up to ``most`` characters; a longer line is one chunk.  One pass over a text."""
     if most < 1:
         raise ValueError("most must be positive")
-    lines = F.regexp_extract_all(x, F.lit("[^\n]*\n|[^\n]+"), F.lit(0))
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("buf"), F.array().cast("array<struct<start:int,text:string>>").alias("out"))
-
-    def step(a, line):
-        full = (F.length(a["buf"]) > 0) & (F.length(a["buf"]) + F.length(line) > most)
-        done = F.concat(a["out"], F.array(F.struct(a["at"].alias("start"), a["buf"].alias("text"))))
-        return F.struct(
-            F.when(full, a["at"] + F.length(a["buf"])).otherwise(a["at"]).alias("at"),
-            F.when(full, line).otherwise(F.concat(a["buf"], line)).alias("buf"),
-            F.when(full, done).otherwise(a["out"]).alias("out"),
-        )
-
-    def last(a):
-        return F.when(F.length(a["buf"]) > 0, F.concat(a["out"], F.array(F.struct(a["at"].alias("start"), a["buf"].alias("text"))))).otherwise(a["out"])
-
-    return F.aggregate(lines, zero, step, last)
+    return F.pandas_udf(_chunk_series(most), "array<struct<start:int,text:string>>")(x)

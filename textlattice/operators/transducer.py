@@ -172,8 +172,70 @@ def lookup_sql(spark: SparkSession, words: DataFrame, arcs: DataFrame, finals: D
     return spark.sql(LOOKUP_SQL.format(string="STRING"))
 
 
+def _one_task(edges: DataFrame, run, ddl: str) -> DataFrame:
+    """``run`` over all of ``edges``, which have been counted to be at most FEW_ARCS, as two arrays in one task."""
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = list(batches)
+        every = pd.concat(parts) if parts else pd.DataFrame({"src": [], "dst": []})
+        yield pd.DataFrame({"state": run(every["src"].to_numpy("int64"), every["dst"].to_numpy("int64"))}).astype({"state": "int32"})
+
+    return edges.select("src", "dst").coalesce(1).mapInPandas(whole, ddl)
+
+
+def _reached(src, dst) -> list[int]:
+    near = defaultdict(list)
+    for a, b in zip(src.tolist(), dst.tolist()):
+        near[a].append(b)
+    seen, todo = {0}, [0]
+    while todo:
+        for b in near[todo.pop()]:
+            if b not in seen:
+                seen.add(b)
+                todo.append(b)
+    return sorted(seen)
+
+
+def _cyclic(src, dst) -> list[int]:
+    """Nodes of strongly connected components with an edge inside: depth-first orders forwards, then components backwards."""
+    near, back = defaultdict(list), defaultdict(list)
+    for a, b in zip(src.tolist(), dst.tolist()):
+        near[a].append(b)
+        back[b].append(a)
+    left, order = set(), []
+    for root in list(near):
+        todo = [(root, iter(near[root]))] if root not in left else []
+        left.add(root)
+        while todo:
+            node, rest = todo[-1]
+            fresh = next((b for b in rest if b not in left), None)
+            if fresh is None:
+                order.append(node)
+                todo.pop()
+            else:
+                left.add(fresh)
+                todo.append((fresh, iter(near[fresh] if fresh in near else ())))
+    taken, out = set(), []
+    for root in reversed(order):
+        if root in taken:
+            continue
+        group, todo = [], [root]
+        taken.add(root)
+        while todo:
+            node = todo.pop()
+            group.append(node)
+            for a in back.get(node, ()):
+                if a not in taken:
+                    taken.add(a)
+                    todo.append(a)
+        if len(group) > 1 or group[0] in near.get(group[0], ()):
+            out += group
+    return sorted(out)
+
+
 def reachable(arcs: DataFrame) -> DataFrame:
-    """``(state)`` reachable from 0: a frontier that stops growing."""
+    """``(state)`` reachable from 0: in one task where the arcs are counted to be few, else a frontier that stops growing."""
+    if arcs.count() <= FEW_ARCS:
+        return _one_task(arcs, _reached, "state int")
     seen = arcs.sparkSession.createDataFrame([(0,)], "state int")
     n = 1
     while True:
@@ -185,16 +247,44 @@ def reachable(arcs: DataFrame) -> DataFrame:
 
 
 def epsilon_cycles(arcs: DataFrame) -> DataFrame:
-    """``(state)`` reachable states that come back to themselves over input epsilons: peel off states without epsilon arcs in or out."""
-    live = reachable(arcs)
-    edges = arcs.filter("isym = ''").select("src", "dst").distinct().join(live, F.col("src") == F.col("state"), "left_semi").checkpoint()
-    while True:
-        n = edges.count()
-        ins, outs = edges.select(F.col("dst").alias("s")).distinct(), edges.select(F.col("src").alias("s")).distinct()
-        core = ins.join(outs, "s")
-        edges = edges.join(core.withColumnRenamed("s", "src"), "src", "left_semi").join(core.withColumnRenamed("s", "dst"), "dst", "left_semi").checkpoint()
-        if edges.count() == n:
-            return edges.select(F.col("src").alias("state")).distinct()
+    """``(state)`` reachable states that come back to themselves over input epsilons.
+
+    Epsilon arcs counted to be few are searched for components in one task, however deep.  More are
+    trimmed of states without arcs in or out; a colour, the greatest state that reaches it, goes round
+    until it rests, and what reaches its colour's state within the colour is its component.
+    """
+    shared_folder(arcs.sparkSession)
+    edges = arcs.filter("isym = ''").select("src", "dst").distinct().join(reachable(arcs), F.col("src") == F.col("state"), "left_semi").checkpoint()
+    if edges.count() <= FEW_ARCS:
+        return _one_task(edges, _cyclic, "state int")
+    found = edges.select(F.col("src").alias("state")).limit(0)
+    while not edges.isEmpty():
+        while True:
+            n = edges.count()
+            core = edges.select(F.col("dst").alias("s")).distinct().join(edges.select(F.col("src").alias("s")).distinct(), "s")
+            edges = edges.join(core.withColumnRenamed("s", "src"), "src", "left_semi").join(core.withColumnRenamed("s", "dst"), "dst", "left_semi").checkpoint()
+            if edges.count() == n:
+                break
+        colour = edges.select(F.col("src").alias("v")).distinct().withColumn("c", F.col("v")).checkpoint()
+        while True:
+            said = edges.join(colour, edges["src"] == colour["v"]).groupBy(F.col("dst").alias("v")).agg(F.max("c").alias("near"))
+            fresh = colour.join(said, "v", "left").select("v", F.greatest("c", F.coalesce("near", "c")).alias("c"), (F.coalesce("near", "c") > F.col("c")).alias("moved")).checkpoint()
+            colour = fresh.select("v", "c")
+            if fresh.filter("moved").isEmpty():
+                break
+        a, b = colour.toDF("src", "ca"), colour.toDF("dst", "cb")
+        inner = edges.join(a, "src").join(b, "dst").filter("ca = cb").select("src", "dst", F.col("ca").alias("c")).checkpoint()
+        group = colour.filter("v = c").checkpoint()
+        while True:
+            n = group.count()
+            group = group.unionByName(inner.join(group.withColumnRenamed("v", "dst"), ["dst", "c"]).select(F.col("src").alias("v"), "c")).distinct().checkpoint()
+            if group.count() == n:
+                break
+        loops = inner.join(group.select(F.col("v").alias("src"), "c"), ["src", "c"], "left_semi").join(group.select(F.col("v").alias("dst"), "c"), ["dst", "c"], "left_semi")
+        found = found.unionByName(loops.select(F.col("src").alias("state")).distinct()).distinct().checkpoint()
+        gone = group.select(F.col("v"))
+        edges = edges.join(gone, F.col("src") == F.col("v"), "left_anti").join(gone, F.col("dst") == F.col("v"), "left_anti").checkpoint()
+    return found
 
 
 def difference(a: DataFrame, b: DataFrame) -> DataFrame:

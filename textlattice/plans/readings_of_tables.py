@@ -243,3 +243,27 @@ def casefold_keys(spark, sf):
     """Case folds of all words."""
     return words(spark, sf).select(F.col("w").alias("x"), X.casefold(F.col("w")).alias("folded"))
 
+
+
+TALKS = "FROM (SELECT conv_id || '-' || turn AS doc_id, '' AS lang, text FROM conversations)"
+
+
+@query(ORACLES["documents_conllu"].replace("FROM documents)", TALKS + ")"))
+def format_conllu(spark, sf):
+    """CoNLL-U of every turn of the conversations, as a digest."""
+    d = Engine(spark, bench_lexicon(spark, sf)).documents(talks(spark, sf))
+    return d.select("doc_id", F.md5(S.to_conllu(F.col("tokens")).cast("binary")).alias("conllu_md5"))
+
+
+VIEWS = [("num", "NUM:NumType=Ord", "NUM:NumType=Ord;NUM:NumType=Card,Ord"), ("num ord", "", ""), ("adj subst nom", "NOUN:Case=Nom", "NOUN:Case=Nom"), ("n attr", "ADJ:Case=Nom", "ADJ:Case=Nom"), ("adj advl", "ADV:", "ADV:"), ("prn", "", "")]
+
+
+@query(f"""WITH {WORDS}, k AS ({values('k INT, said VARCHAR, profile VARCHAR, views VARCHAR', [(i, v[0], p, v[1 + j]) for i, v in enumerate(VIEWS) for j, p in enumerate(("universal", "ktb"))])})
+SELECT w[1] AS letter, said, profile, views, count(*) AS n FROM words JOIN k ON k = {draw_sql('w', len(VIEWS))} GROUP BY ALL""")
+def ud_alternatives(spark, sf):
+    """Views that usage tags and bare decimals license, for tags dealt to all words."""
+    said = F.array(*(F.lit(v[0]) for v in VIEWS))
+    d = words(spark, sf).select(F.substring("w", 1, 1).alias("letter"), F.get(said, draw(F.col("w"), len(VIEWS))).alias("said")).groupBy("letter", "said").agg(F.count("*").alias("n")).withColumn("tags", F.split("said", " "))
+    show = lambda c: F.array_join(F.transform(c, lambda v: F.concat(v["upos"], F.lit(":"), shown(v["features"]))), ";")
+    one = lambda p: d.select("letter", "said", F.lit(p).alias("profile"), show(T.alternatives(F.col("tags"), F.lit(True), p)).alias("views"), "n")
+    return one("universal").union(one("ktb"))

@@ -435,3 +435,75 @@ def hyphen_fences(spark, sf):
     d = t(spark, sf, "pages").filter(F.length("url") > 0).withColumn("c", K.characters(F.col("url")))
     return d.select("page_id", F.concat_ws(",", K.hyphen_indexes(F.col("c")).cast("array<string>")).alias("inner_hyphens"))
 
+
+
+@query(f"WITH {TRIE}, l AS (SELECT DISTINCT p.state AS a, s.state AS b FROM lex JOIN st s ON surface = s.prefix JOIN st p ON p.prefix = surface[1:length(surface) - 1] WHERE {draw_sql('surface', 6)} = 0) SELECT CAST(a AS INT) AS state FROM l UNION SELECT CAST(b AS INT) FROM l")
+def fst_epsilon_cycle(spark, sf):
+    """States on cycles of input epsilons, after words of the trie got such arcs to their last letter and back."""
+    arcs, _ = trie(spark, sf)
+    ends = arcs.filter("osym = '<n>'").select(F.col("src").alias("end"))
+    said = bench_lexicon(spark, sf).filter(draw(F.col("surface"), 6) == 0).select(F.col("surface").alias("word"))
+    # A word's state is where its path leads: its letters are looked up in the order of prefixes.
+    states = D.numbered(bench_lexicon(spark, sf).select(F.explode(F.transform(F.sequence(F.lit(0), F.length("surface")), lambda k: F.substring("surface", F.lit(1), k))).alias("prefix")).distinct(), ["prefix"], "state")
+    mine = said.join(states, F.col("word") == F.col("prefix")).select(F.col("state").cast("int").alias("dst"))
+    last = arcs.filter("isym <> ''").join(mine, "dst").join(ends, F.col("dst") == F.col("end"), "left_semi").select("src", "dst")
+    more = last.unionByName(last.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).select("src", "dst", F.lit("").alias("isym"), F.lit("x").alias("osym"))
+    return D.epsilon_cycles(arcs.unionByName(more))
+
+
+@query("""WITH RECURSIVE li AS (SELECT doc_id, unnest(list_zip(x, range(len(x)))) AS z FROM (SELECT doc_id, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS x FROM documents)), l AS (SELECT doc_id, z[2] AS k, length(z[1]) AS n FROM li),
+r AS (SELECT doc_id, k, n AS size, CAST(0 AS BIGINT) AS place, CAST(0 AS BIGINT) AS chunk FROM l WHERE k = 0 UNION ALL SELECT l.doc_id, l.k, CASE WHEN r.size + l.n > 400 THEN l.n ELSE r.size + l.n END, CASE WHEN r.size + l.n > 400 THEN r.place + r.size ELSE r.place END, CASE WHEN r.size + l.n > 400 THEN r.chunk + 1 ELSE r.chunk END FROM r JOIN l ON l.doc_id = r.doc_id AND l.k = r.k + 1)
+SELECT doc_id, max(chunk) + 1 AS n_chunks, CAST(sum(place * (chunk + 1)) AS BIGINT) AS starts FROM (SELECT DISTINCT doc_id, chunk, place FROM r) GROUP BY doc_id""")
+def line_chunks(spark, sf):
+    """Lines of the documents packed to 400 characters."""
+    c = t(spark, sf, "documents").select("doc_id", F.posexplode(X.line_chunks(F.col("text"), 400)).alias("chunk", "c"))
+    return c.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.sum(F.col("c.start") * (F.col("chunk") + 1)).cast("long").alias("starts"))
+
+
+WHOLE = f"""br AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[^{WS}]+')) AS run FROM benchmark), dr AS (SELECT doc_id, unnest(list_zip(x, range(len(x)))) AS z FROM (SELECT doc_id, regexp_extract_all(text, '[{WS}]+|[^{WS}]+') AS x FROM documents)),
+rn AS (SELECT DISTINCT z[1] AS run FROM dr), rt AS (SELECT run, regexp_extract_all(run, '{RX}') AS x FROM rn), tl AS (SELECT run, x, unnest(range(len(x) - 1)) AS k FROM rt WHERE len(x) > 1), hit AS (SELECT run, min(k) AS k FROM tl WHERE array_to_string(x[k + 1:], '') IN (SELECT run FROM br) GROUP BY run)"""
+
+
+@query(f"""WITH {WHOLE} SELECT doc_id, CAST(sum(CASE WHEN hit.k IS NULL THEN len(x) ELSE hit.k + 1 END) AS BIGINT) AS n_tokens, count(hit.k) AS n_whole, md5(string_agg(CASE WHEN hit.k IS NULL THEN array_to_string(x, '|') ELSE array_to_string(list_append(x[1:hit.k], array_to_string(x[hit.k + 1:], '')), '|') END, '|' ORDER BY z[2])) AS tokens_md5
+FROM dr JOIN rt ON rt.run = z[1] LEFT JOIN hit ON hit.run = z[1] GROUP BY doc_id""")
+def whole_run_tokens(spark, sf):
+    """Documents in which what the benchmark has of a run of several tokens stays whole."""
+    lex = t(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(f"[^{WS}]+"), F.lit(0))).alias("surface")).distinct()
+    w = K.whole_runs(t(spark, sf, "documents"), lex)
+    many = (F.size(X.tokens(F.col("text"))) > 1) & ~F.col("text").rlike(f"^[{WS}]+$")
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("tok_idx", "text"))), lambda x: x["text"])
+    return w.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.count(F.when(many, 1)).alias("n_whole"), F.md5(F.array_join(ordered, "|").cast("binary")).alias("tokens_md5"))
+
+
+@query(f"""WITH {CONV}, s AS (SELECT doc_id, {draw_sql('doc_id', 3)} AS k, list(tok ORDER BY idx) AS x FROM cv GROUP BY ALL) SELECT doc_id, CAST(CASE k WHEN 0 THEN len(x) WHEN 1 THEN len(x) - 1 ELSE 0 END AS INT) AS n_segments, CASE k WHEN 1 THEN 'input is not covered' WHEN 2 THEN 'not aligned at 0' END AS error FROM s""")
+def segment_alignment(spark, sf):
+    """Tokens of conversations as cohorts against their text: whole, without the last, with a wrong first."""
+    k, x = draw(F.col("doc_id"), 3), F.col("x")
+    d = talks(spark, sf).select("doc_id", "text", X.tokens(F.col("text")).alias("x")).filter(F.size("x") > 0)
+    some = F.when(k == 0, x).when(k == 1, F.slice(x, F.lit(1), F.size(x) - 1)).otherwise(F.concat(F.array(F.concat(F.lit("#"), F.get(x, F.lit(0)))), F.slice(x, F.lit(2), F.size(x))))
+    seg = F.transform(some, lambda s: F.struct(s.alias("text"), F.array().cast("array<string>").alias("readings")))
+    a = d.select("doc_id", K.align_segments(F.col("text"), seg).alias("a"))
+    return a.select("doc_id", F.size("a.segments").alias("n_segments"), "a.error")
+
+
+@query(f"""WITH {CONV}, s AS (SELECT *, sum(length(tok)) OVER (PARTITION BY doc_id ORDER BY idx) - length(tok) AS s FROM cv) SELECT doc_id, CAST(count(*) AS INT) AS n_atoms, CAST(sum(s * (idx % 89)) AS BIGINT) AS starts FROM s GROUP BY doc_id""")
+def atomic_intervals(spark, sf):
+    """Atoms of conversations when each single letter is a cohort of its own run: those of the tokens."""
+    d = talks(spark, sf).select("doc_id", K.characters(F.col("text")).alias("c"), X.token_ends(X.tokens(F.col("text"))).alias("ends"))
+    # Generated, so that no place of a text makes its characters anew.
+    d = d.select("doc_id", F.inline(F.array(F.struct("c", "ends")))).filter(F.size("c") > 0)
+    a = d.select("doc_id", K.atomic_intervals(F.col("c"), F.col("ends")).alias("a"))
+    return a.select("doc_id", F.size("a").alias("n_atoms"), F.aggregate(F.transform("a", lambda p, i: p["start"].cast("long") * (i % 89)), F.lit(0).cast("long"), lambda x, y: x + y).alias("starts"))
+
+
+@query(f"""WITH {CONV}, w AS (SELECT {draw_sql('tok', 3)} AS k FROM cv WHERE regexp_matches(tok, '\\p{{L}}')), c AS (SELECT k, unnest([0, 1]) AS cand FROM w)
+SELECT k, CAST(cand AS INT) AS cand_idx, n, CASE k WHEN 0 THEN round(CASE cand WHEN 1 THEN 1 ELSE exp(-3.55::DOUBLE) END / (1 + exp(-3.55::DOUBLE)), 6) WHEN 1 THEN 0.5 END AS score, CASE WHEN k = 0 AND cand = 1 OR k = 1 AND cand = 0 THEN n ELSE 0 END AS n_selected FROM (SELECT k, cand, count(*) AS n FROM c GROUP BY k, cand)""")
+def neural_rerank(spark, sf):
+    """Words of conversations with two readings, re-ranked by predictions of the second, of neither, and of other spans."""
+    f = lambda k, v: F.array(F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")))
+    tok = X.explode_tokens(talks(spark, sf)).filter(F.col("text").rlike(r"\p{L}")).withColumn("k", draw(F.col("text"), 3))
+    two = F.inline(F.array(F.struct(F.lit(0).alias("cand_idx"), F.lit("NOUN").alias("upos"), f("Case", "Nom").alias("features")), F.struct(F.lit(1).alias("cand_idx"), F.lit("VERB").alias("upos"), f("Mood", "Imp").alias("features"))))
+    r = tok.select("doc_id", "tok_idx", "start", "end", F.lit("word").alias("kind"), F.col("text").alias("lemma"), "k", F.lit(None).cast("double").alias("score"), two)
+    p = tok.select("doc_id", "start", F.when(F.col("k") == 2, F.col("end") + 1000).otherwise(F.col("end")).alias("end"), F.lit(0).alias("ord"), "text", F.col("text").alias("lemma"), F.when(F.col("k") == 0, "VERB").otherwise("ADJ").alias("upos"), F.when(F.col("k") == 0, f("Mood", "Imp")).otherwise(f("Degree", "Cmp")).alias("features"))
+    best = C.rerank(r.drop("k"), p).join(tok.select("doc_id", "tok_idx", "k"), ["doc_id", "tok_idx"])
+    return best.groupBy("k", "cand_idx").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("score"), F.count(F.when(F.col("is_selected"), 1)).alias("n_selected"))
