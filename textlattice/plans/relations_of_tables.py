@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from textlattice.operators import transducer as D
 from textlattice.plans.corpus import FOLD, KIND, LEX, PLACED, RX, WS, bench_lexicon, t
 from textlattice.plans.derived import _apart, _apart_sql
 from textlattice.plans.readings_of_tables import CONV, WORDS, draw, draw_sql, talks, words
+from textlattice.plans.session import shared_folder
+from textlattice.sources import arcs as binary
 from textlattice.sources import conllu, files, tables
 
 QUERIES, ORACLES = {}, {}
@@ -59,6 +63,15 @@ def coded_arcs(spark, sf):
     return D.coded(trie(spark, sf)[0])[0].select("arc", "src", "dst", "in_id", "out_id")
 
 
+@query(f"WITH {TRIE} SELECT CAST(src AS INT) AS src, CAST(dst AS INT) AS dst, isym, osym FROM tr")
+def arc_round_trip(spark, sf):
+    """The trie written as binary blocks, and what the data source reads of them."""
+    arcs, finals = trie(spark, sf)
+    path = f"{shared_folder(spark)}/arcs-{uuid.uuid4().hex}"
+    binary.write(arcs, finals, path)
+    return binary.read(spark, path)[0]
+
+
 @query(f"""WITH {TRIE}, {WORDS}, ch AS (SELECT DISTINCT w, unnest(string_split(w, '')) AS c FROM words), odd AS (SELECT DISTINCT w FROM ch WHERE c NOT IN (SELECT isym FROM tr))
 SELECT w AS word, CASE WHEN surface IS NOT NULL THEN CAST(0 AS INT) END AS cand_idx, surface || '<n>' AS output, CASE WHEN length(w) > 256 THEN 'input bound' WHEN odd.w IS NOT NULL THEN 'unknown symbol' ELSE 'ok' END AS status FROM words LEFT JOIN lex ON w = surface LEFT JOIN odd USING (w)""")
 def fst_lookup(spark, sf):
