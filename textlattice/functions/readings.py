@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -130,3 +133,13 @@ def lexical_form(lemma: Column, tags: Column) -> Column:
     ok = (lemma != "") & ~lemma.rlike("[<>\r\n]") & F.forall(cleaned, lambda t: t.rlike("^[A-Za-z0-9_:-]+$"))
     escaped = F.replace(F.replace(lemma, F.lit("\\"), F.lit("\\\\")), F.lit("+"), F.lit("\\+"))
     return F.when(ok, F.concat(escaped, F.array_join(F.transform(cleaned, lambda t: F.concat(F.lit("<"), t, F.lit(">"))), "")))
+
+
+@lru_cache(maxsize=64)
+def _built(gateway, what: str, columns: tuple[str, ...], options: tuple) -> Column:
+    return {"parse": parse, "aliases": aliases, "unknown": unknown, "number": number, "protected": protected}[what](*map(F.col, columns), **dict(options))
+
+
+def of(what: str, *columns: str, **options) -> Column:
+    """``parse``, ``aliases``, ``unknown``, ``number`` or ``protected`` of named columns, built once: large expressions take seconds to put together."""
+    return _built(SparkContext._gateway, what, columns, tuple(sorted(options.items())))

@@ -37,15 +37,15 @@ def once(x: Column) -> Column:
 
 def fixlist_readings(fixlist: DataFrame, profile: str = "universal") -> DataFrame:
     """``(form_key, fixed)``: the readings of each folded form, in order of ``ord``."""
-    parsed = fixlist.select("form_key", "ord", once(R.parse(F.col("raw"), "fixlist", profile=profile)).alias("r")).filter("r is not null")
+    parsed = fixlist.select("form_key", "ord", once(R.of("parse", "raw", source="fixlist", profile=profile)).alias("r")).filter("r is not null")
     return parsed.groupBy("form_key").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "r"))), lambda x: x["r"]).alias("fixed"))
 
 
 def lexicon_readings(lexicon: DataFrame, profile: str = "universal") -> DataFrame:
     """``(surface, read)``: all readings in candidate order, then the aliases they license."""
-    parsed = lexicon.select("surface", "cand_idx", once(R.parse(F.col("raw"), profile=profile)).alias("r")).filter("r is not null")
+    parsed = lexicon.select("surface", "cand_idx", once(R.of("parse", "raw", profile=profile)).alias("r")).filter("r is not null")
     grouped = parsed.groupBy("surface").agg(F.transform(F.sort_array(F.collect_list(F.struct("cand_idx", "r"))), lambda x: x["r"]).alias("read"))
-    return grouped.select("surface", F.concat("read", R.aliases(F.col("read"), F.col("surface"), profile)).alias("read"))
+    return grouped.select("surface", F.concat("read", R.of("aliases", "read", "surface", profile=profile)).alias("read"))
 
 
 def surface_readings(surfaces: DataFrame, lexicon: DataFrame, fixlist: DataFrame | None = None, guesses: DataFrame | None = None, profile: str = "universal") -> DataFrame:
@@ -61,12 +61,12 @@ def surface_readings(surfaces: DataFrame, lexicon: DataFrame, fixlist: DataFrame
     s = s.join(fixlist_readings(fixlist, profile), "form_key", "left") if fixlist is not None else s.withColumn("fixed", F.lit(None).cast(READINGS))
     s = s.join(guesses, "surface", "left") if guesses is not None else s.withColumn("guessed_readings", F.lit(None).cast(READINGS))
     some = lambda c: F.when(F.size(c) > 0, F.col(c))
-    one = F.when(F.col("surface").isin(*PROTECTED), F.array(R.protected(F.col("surface"))))
+    one = F.when(F.col("surface").isin(*PROTECTED), F.array(R.of("protected", "surface")))
     s = s.withColumn("own", R.distinct(F.coalesce(some("fixed"), some("read"), one, empty())))
     s = s.withColumn("k", X.kind_with_readings(F.col("surface"), F.transform("own", lambda r: r["upos"])))
     lexical = F.col("k").isin("word", "number")
     fallback = F.coalesce(
-        F.when(F.col("k") == "number", F.array(R.number(F.col("surface")))), F.when(F.col("k") == "word", some("guessed_readings")), F.array(R.unknown(F.col("surface")))
+        F.when(F.col("k") == "number", F.array(R.of("number", "surface"))), F.when(F.col("k") == "word", some("guessed_readings")), F.array(R.of("unknown", "surface"))
     )
     s = s.withColumn("readings", F.when((F.size("own") == 0) & lexical, fallback).otherwise(F.col("own")))
     return s.select("surface", X.kind_with_readings(F.col("surface"), F.transform("readings", lambda r: r["upos"])).alias("kind"), "readings")
