@@ -64,6 +64,31 @@ def metric_set(pairs: DataFrame, *by: str) -> DataFrame:
     return df.groupBy(*by).agg(*exprs) if by else df.agg(*exprs)
 
 
+#: Which gold tokens count: all (one without a partner is a miss), those with one, those whose partner has a choice.
+SCOPES = ("end_to_end", "aligned_only", "selected_only")
+
+
+def scoped(gold: DataFrame, tokens: DataFrame, ops: DataFrame) -> DataFrame:
+    """Gold tokens once for each scope they count in: ``scope`` and what ``metric_set`` reads.
+
+    ``gold(sent_id, ordinal, lemma, upos, features)``, ``tokens(sent_id, tok_idx, readings,
+    selected)``; partners are the one-to-one matches of ``ops`` (``align.OPS``).  One join and one
+    generator; ``metric_set(..., "scope")`` then is one aggregation.
+    """
+    one = ops.filter("kind = 'match' and gold_size = 1 and pred_size = 1").select("sent_id", F.col("gold_start").alias("ordinal"), F.col("pred_start").alias("tok_idx"))
+    j = gold.join(one, ["sent_id", "ordinal"], "left").join(tokens.select("sent_id", "tok_idx", "readings", "selected"), ["sent_id", "tok_idx"], "left")
+    bare = lambda rs: F.transform(rs, lambda r: F.struct(*(r[c].alias(c) for c in ("lemma", "upos", "features", "source"))))
+    none = F.expr("cast(array() as array<struct<lemma: string, upos: string, features: array<struct<k: string, v: string>>, source: string>>)")
+    every = F.coalesce(bare(F.col("readings")), none)
+    best = F.when(F.size("readings") == 1, F.get("readings", F.lit(0))).otherwise(F.get("readings", F.col("selected")))
+    chosen = F.when(best.isNotNull() & (best["source"] != "unknown"), bare(F.array(best)))
+    counts = F.array_compact(F.array(
+        F.struct(F.lit(SCOPES[0]).alias("scope"), every.alias("candidates")), F.when(F.col("tok_idx").isNotNull(), F.struct(F.lit(SCOPES[1]).alias("scope"), every.alias("candidates"))),
+        F.when(chosen.isNotNull(), F.struct(F.lit(SCOPES[2]).alias("scope"), chosen.alias("candidates"))),
+    ))
+    return j.select(F.col("lemma").alias("gold_lemma"), F.col("upos").alias("gold_upos"), F.col("features").alias("gold_features"), F.inline(counts))
+
+
 def selection_stats(tokens: DataFrame) -> DataFrame:
     """``tokens(aligned, n_candidates, selected)``: every gold token in one bucket."""
     b = (

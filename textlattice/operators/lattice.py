@@ -161,3 +161,24 @@ def check_partition(tokens: DataFrame, docs: DataFrame, id_col: str = "doc_id",
     whole = tokens.groupBy(id_col).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("tok_idx", "text"))), lambda x: x["text"]), "").alias("joined"))
     lost = docs.join(whole, id_col, "left").filter(F.coalesce("joined", F.lit("")) != F.coalesce(text_col, F.lit(""))).select(id_col, F.lit("text is not restored").alias("problem"))
     return own.unionByName(lost)
+
+
+def check_edges(edges: DataFrame) -> DataFrame:
+    """Violations ``(row_id, edge, start, end, problem)`` of a lattice's constraints (``Engine.lattice``); none for a sound one.
+
+    Tokens are one path from 0 to the end of the text; a span starts and ends on nodes of that path,
+    which makes it a way around the tokens it says it covers.
+    """
+    own = ["row_id", "edge", "start", "end"]
+    t = edges.filter("edge = 'token'")
+    w = Window.partitionBy("row_id").orderBy("token_start")
+    broken = F.when(F.col("start") != F.coalesce(F.lag("end").over(w), F.lit(0)), "tokens are no path").when(F.col("token_end") != F.col("token_start") + 1, "a token of several")
+    bad = t.select(*own, broken.alias("problem"))
+    at = lambda end: t.select(F.col("row_id").alias(f"_r{end}"), F.col(f"token_{end}").alias(f"_t{end}"), F.col(end).alias(f"_{end}"))
+    s, a, b = edges.filter("edge = 'span'"), at("start"), at("end")
+    s = s.join(a, (s["row_id"] == a["_rstart"]) & (s["token_start"] == a["_tstart"]), "left").join(b, (s["row_id"] == b["_rend"]) & (s["token_end"] == b["_tend"]), "left")
+    off = (
+        F.when(F.col("_start").isNull() | (F.col("start") != F.col("_start")), "span starts off the path").when(F.col("_end").isNull() | (F.col("end") != F.col("_end")), "span ends off the path")
+        .when(F.col("token_end") - F.col("token_start") < 2, "span of one token")
+    )
+    return bad.unionByName(s.select(*own, off.alias("problem"))).filter("problem is not null")

@@ -157,6 +157,19 @@ def group_evidence(spark, sf):
     return E.group_evidence(A.align(gold(spark, sf), p), none, p.select("sent_id", "tok_idx", X.kind(F.col("text")).alias("kind")))
 
 
+@query(f"""WITH {GOLD}, {LEX}, said AS (SELECT *, CASE WHEN loud THEN upper(form) ELSE form END AS tok FROM parts), k AS (SELECT said.*, {KIND} AS kind, surface IS NOT NULL AS known, tok IN ('\\', '^', '$', '/', '<', '>', '{{', '}}', '[', ']', '@', '#', '*', '+', '~', '|', '=', '&', '`') AS own FROM said LEFT JOIN lex ON tok = surface),
+g AS (SELECT *, unnest(CASE WHEN cut THEN ['end_to_end'] WHEN known OR own OR kind = 'number' THEN ['end_to_end', 'aligned_only', 'selected_only'] ELSE ['end_to_end', 'aligned_only'] END) AS scope FROM k)
+SELECT scope, count(*) FILTER (NOT cut AND (known OR own OR kind = 'number')) AS lemma_correct, count(*) AS lemma_total, count(*) FILTER (NOT cut AND known) AS upos_correct, count(*) AS upos_total, count(*) FILTER (NOT cut AND known) AS features_correct, count(*) FILTER (NOT cut AND known) AS full_correct,
+count(*) FILTER (NOT cut AND (known OR own)) AS candidate_subset_correct FROM g GROUP BY scope""")
+def evaluation_scopes(spark, sf):
+    """The benchmark as gold against the readings of its shouted and split tokens: end to end, aligned, selected."""
+    case = F.array(F.struct(F.lit("Case").alias("k"), F.lit("Nom").alias("v")))
+    g, p = gold(spark, sf), predicted(spark, sf)
+    said = L.read_tokens(p, bench_lexicon(spark, sf))
+    s = E.scoped(g.select("sent_id", "ordinal", X.casefold(F.col("form")).alias("lemma"), F.lit("NOUN").alias("upos"), case.alias("features")), said, A.align(g, p))
+    return E.metric_set(s, "scope").select("scope", "lemma_correct", "lemma_total", "upos_correct", "upos_total", "features_correct", "full_correct", "candidate_subset_correct")
+
+
 # --- measures
 
 CANDS = f"""g AS (SELECT w, {draw_sql('w', 6)} AS k FROM words WHERE {FOLD.format('upper(w)')} = {FOLD.format('w')})"""
