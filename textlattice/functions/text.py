@@ -85,16 +85,17 @@ def explode_tokens(df, id_col: str = "doc_id", text_col: str = "text"):
 
 def _placed_frames(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     for lengths, texts in batches:
-        ends, given = [], []
-        for n, text in zip(lengths, texts):
-            e = None if n is None else np.cumsum(n, dtype=np.int32)
-            if text is None or e is None:
-                given.append(None)
-            else:
-                e = np.array(_boundaries(text)[1], np.int32)[e] if len(e) else e
-                given.append([text[i:j] for i, j in zip([0, *e.tolist()], e.tolist())])
-            ends.append(e)
-        yield pd.DataFrame({"ends": ends, "given": given})
+        for at in range(0, max(len(lengths), 1), 128):  # few rows at a time: surfaces are many objects
+            ends, given = [], []
+            for n, text in zip(lengths[at : at + 128], texts[at : at + 128]):
+                e = None if n is None else np.cumsum(n, dtype=np.int32)
+                if text is None or e is None:
+                    given.append(None)
+                else:
+                    e = np.array(_boundaries(text)[1], np.int32)[e] if len(e) else e
+                    given.append([text[i:j] for i, j in zip([0, *e.tolist()], e.tolist())])
+                ends.append(e)
+            yield pd.DataFrame({"ends": ends, "given": given})
 
 
 def placed(surfaces: Column, given: Column) -> Column:
@@ -110,16 +111,37 @@ def casefold(x: Column) -> Column:
     return F.translate(F.replace(F.replace(F.lower(x), F.lit("ß"), F.lit("ss")), F.lit("ŉ"), F.lit("ʼn")), "ς", "σ")
 
 
+#: What composition may change: code points from the first combining mark on, with the one before them.
+ODD = re.compile("[\\x00-\u02ff]?[\u0300-\U0010ffff]+")
+
+
 def _boundaries(text: str) -> tuple[str, list[int]]:
     """NFC and, for each of its boundaries, the boundary in the original text.
 
-    Clusters are a starter with its marks; neighbours that compose are joined.  A cluster that is
-    normal already maps one to one; inside others only the outer boundaries are safe, so inner ones
-    map to the cluster's start.
+    Only pieces of ODD are looked into; no code point before the first combining mark composes with
+    what is before it.
     """
     normal = unicodedata.normalize("NFC", text)
     if normal == text:
         return normal, list(range(len(text) + 1))
+    out, at = [0], 0
+    for m in ODD.finditer(text):
+        out.extend(range(at + 1, m.start() + 1))
+        out.extend(m.start() + x for x in _piece_boundaries(m.group())[1:])
+        at = m.end()
+    out.extend(range(at + 1, len(text) + 1))
+    return normal, out
+
+
+def _piece_boundaries(text: str) -> list[int]:
+    """Boundaries of a short piece.
+
+    Clusters are a starter with its marks; neighbours that compose are joined.  A cluster that is
+    normal already maps one to one; inside others only the outer boundaries are safe, so inner ones
+    map to the cluster's start.
+    """
+    if unicodedata.normalize("NFC", text) == text:
+        return list(range(len(text) + 1))
     cuts = [i for i, c in enumerate(text) if i == 0 or unicodedata.combining(c) == 0] + [len(text)]
     parts = [(a, b) for a, b in zip(cuts, cuts[1:])]
     joined: list[tuple[int, int]] = []
@@ -136,7 +158,7 @@ def _boundaries(text: str) -> tuple[str, list[int]]:
         piece = unicodedata.normalize("NFC", text[a:b])
         inner = list(range(a + 1, b)) if piece == text[a:b] else [a] * (len(piece) - 1)
         out += inner + [b]
-    return normal, out
+    return out
 
 
 def _nfc_frames(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
