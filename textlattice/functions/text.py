@@ -106,9 +106,41 @@ def placed(surfaces: Column, given: Column) -> Column:
     return F.pandas_udf(_placed_frames, "ends array<int>, given array<string>")(F.transform(surfaces, F.length), given)
 
 
+#: Characters with a case, from a rule; none lies beyond the second plane.
+_CASED = [c for c in map(chr, range(0x80, 0x20000)) if c.casefold() != c or c.lower() != c]
+#: What folds to several characters; sharp s, which whole texts have, is apart.
+SEVERAL = {c: c.casefold() for c in _CASED if len(c.casefold()) > 1 and c != "ß"}
+#: Lower-case characters that the fold changes once more.
+SINGLE = {c.lower(): c.casefold() for c in _CASED if len(c.casefold()) == 1 and c.casefold() not in (c, c.lower())}
+
+
+def _class(chars) -> str:
+    """A character class of these, as ranges."""
+    points, out = sorted(map(ord, chars)), []
+    for p in points:
+        if out and out[-1][1] == p - 1:
+            out[-1][1] = p
+        else:
+            out.append([p, p])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in out) + "]"
+
+
+#: Text of which lower case is not the fold; a capital sigma is lowered by where it stands.
+FOLDS_ON = _class({"Σ", *SEVERAL, *SINGLE, *(c for c in _CASED if c.lower() in SINGLE)})
+MANY = _class(SEVERAL)
+
+
 def casefold(x: Column) -> Column:
-    """Lower case with the full folds of sharp s and final sigma."""
-    return F.translate(F.replace(F.replace(F.lower(x), F.lit("ß"), F.lit("ss")), F.lit("ŉ"), F.lit("ʼn")), "ς", "σ")
+    """The full case fold of Unicode: lower case, then the characters that fold to others or to several.
+
+    Most text has none of them and is lowered only.  Which letters are pairs follows the JVM's
+    version of Unicode.
+    """
+    x = F.replace(x, F.lit("ß"), F.lit("ss"))
+    pairs = F.create_map(*(F.lit(v) for pair in SEVERAL.items() for v in pair))
+    spread = F.array_join(F.transform(F.split(x, ""), lambda c: F.coalesce(F.element_at(pairs, c), c)), "")
+    lowered = F.lower(F.when(x.rlike(MANY), spread).otherwise(x))
+    return F.when(x.rlike(FOLDS_ON), F.translate(lowered, "".join(SINGLE), "".join(SINGLE.values()))).otherwise(F.lower(x))
 
 
 #: What composition may change: code points from the first combining mark on, with the one before them.
@@ -210,6 +242,25 @@ def xml_forbidden(x: Column) -> Column:
     return F.regexp_instr(x, F.lit(r"[^\x{9}\x{a}\x{d}\x{20}-\x{d7ff}\x{e000}-\x{fffd}\x{10000}-\x{10ffff}]"))
 
 
+def xml_error(x: Column, field: str) -> Column:
+    """What XML 1.0 forbids in a field: its name, the first such code point and its 0-based place; null without."""
+    at = xml_forbidden(x)
+    point = F.lpad(F.hex(F.ascii(F.substring(x, at, F.lit(1)))), 4, "0")
+    point = F.when(F.ascii(F.substring(x, at, F.lit(1))) > 0xFFFF, F.hex(F.ascii(F.substring(x, at, F.lit(1))))).otherwise(point)
+    return F.when(at > 0, F.concat(F.lit(f"{field}: U+"), point, F.lit(" at "), (at - 1).cast("string"), F.lit(" cannot be in XML 1.0")))
+
+
+#: Names of encodings that an XML declaration may have.
+ENCODING_NAME = re.compile(r"[A-Za-z][A-Za-z0-9._-]*")
+
+
+def xml_declaration(encoding: str) -> str:
+    """The declaration's line; ValueError for what is no name of an encoding."""
+    if not ENCODING_NAME.fullmatch(encoding):
+        raise ValueError(f"not a name of an encoding: {encoding!r}")
+    return f'<?xml version="1.0" encoding="{encoding}"?>'
+
+
 def escape_xml(x: Column) -> Column:
     for a, b in (("&", "&amp;"), (">", "&gt;"), ("<", "&lt;")):
         x = F.replace(x, F.lit(a), F.lit(b))
@@ -243,6 +294,39 @@ def escape_reserved(x: Column) -> Column:
     return F.regexp_replace(x, r"([\\^$/<>{}\[\]@#*+])", r"\\$1")
 
 
+#: Fixed value: characters that a backend stream's tokenizer may not see.
+PROTECTED = "\\^$/<>{}[]@#*+~|=&`\0\r"
+#: Private-use code points of the first plane, from which sentinels are taken.
+PRIVATE = [chr(c) for c in range(0xE000, 0xF900)]
+
+
+def hide(x: Column, marks: str = PROTECTED) -> Column:
+    """Struct (code, text): ``marks`` replaced by sentinels, the first private-use code points that this text has not.
+
+    ``code`` holds the sentinels in the order of ``marks``; ``reveal`` undoes it exactly, whatever the
+    text holds.  Null where the text itself leaves too few private-use code points of the first plane.
+    """
+    if len(set(marks)) != len(marks):
+        raise ValueError("marks must differ")
+    k, some = len(marks), F.array(*map(F.lit, PRIVATE))
+    used = F.array_distinct(F.regexp_extract_all(x, F.lit(r"[\x{e000}-\x{f8ff}]"), F.lit(0)))
+    # As many candidates as are used and one for each mark: so many are free among them.
+    free = F.slice(F.array_except(F.slice(some, F.lit(1), F.size(used) + k), used), 1, k)
+    code = F.when(F.size(used) == 0, F.lit("".join(PRIVATE[:k]))).when(F.size(used) + k <= len(PRIVATE), F.array_join(free, ""))
+    return F.when(x.isNotNull() & code.isNotNull(), F.struct(code.alias("code"), F.call_function("translate", x, F.lit(marks), code).alias("text")))
+
+
+def reveal(hidden: Column, marks: str = PROTECTED) -> Column:
+    """The text that ``hide`` was given."""
+    rest = marks.replace("\0", "")  # translate takes NUL for nothing
+    code, out = hidden["code"], hidden["text"]
+    if rest != marks:
+        at = marks.index("\0") + 1
+        out = F.replace(out, F.substring(code, at, 1), F.lit("\0"))
+        code = F.concat(F.substring(code, 1, at - 1), F.substring(code, at + 1, len(marks)))
+    return F.call_function("translate", out, code, F.lit(rest))
+
+
 def whole_line_prefix(df, limit: int, id_col: str = "doc_id", text_col: str = "text"):
     """Per document the lines of its longest prefix of whole lines with at most ``limit`` characters."""
     if limit < 0:

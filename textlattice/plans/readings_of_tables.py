@@ -229,6 +229,24 @@ def guess_topk_softmax(spark, sf):
     return G.guess(rel, rel, limit=2).select("surface", "rank", "reading.raw", F.round("score", 6).alias("score"))
 
 
+OUTCOMES = f"""{WORDS}, {KZ}, e AS (SELECT w, {ELIGIBLE} AS ok FROM kz), h AS (SELECT w, unnest([0, 1, 2]) AS k FROM e WHERE ok AND length(w) >= 5),
+r AS (SELECT w, CASE k WHEN 0 THEN w[1:length(w) - 2] WHEN 1 THEN w ELSE w[1:length(w) - 3] END AS l FROM h),
+s AS (SELECT w, count(*) AS n FROM r WHERE length(l) >= 2 AND regexp_matches(l, '[{G.VOWELS}]') AND NOT regexp_matches(l, '[ьъ]$') AND NOT contains(l, 'ыы') AND NOT contains(l, 'іі') GROUP BY w)"""
+
+
+@query(f"""WITH {OUTCOMES} SELECT outcome, count(*) AS n, CAST(sum(n_raw) AS BIGINT) AS n_raw, CAST(sum(n_guesses) AS BIGINT) AS n_guesses FROM
+(SELECT CASE WHEN NOT ok THEN 'not eligible' WHEN length(w) < 5 THEN 'no relation' WHEN n IS NULL THEN 'rejected' ELSE 'guessed' END AS outcome, CASE WHEN length(w) >= 5 THEN 3 ELSE 0 END AS n_raw, least(coalesce(n, 0), 2) AS n_guesses FROM e LEFT JOIN s USING (w)) GROUP BY outcome""")
+def guess_outcomes(spark, sf):
+    """What became of every word: guessed, rejected, without a relation, not eligible."""
+    w = F.col("w")
+    some = cyrillic(spark, sf).filter(F.length("w") >= 5)
+    cut = lambda n: F.substring(w, F.lit(1), F.length(w) - n)
+    raws = F.array(F.concat(cut(2), F.lit("<n><pl><nom>")), F.concat(w, F.lit("<v><tv><fut>")), F.concat(cut(3), F.lit("<n><px1sg><loc>")))
+    rel = some.select(w.alias("surface"), F.explode(raws).alias("raw"))
+    out = G.outcomes(cyrillic(spark, sf).select(w.alias("surface")), rel, limit=2)
+    return out.groupBy("outcome").agg(F.count("*").alias("n"), F.sum("n_raw").alias("n_raw"), F.sum("n_guesses").alias("n_guesses"))
+
+
 @query(f"""WITH {LEX} SELECT md5(surface) AS query_id, CAST(0 AS INT) AS ord, surface FROM lex WHERE NOT contains(surface, '+') AND {draw_sql('surface', 6)} <> 5""")
 def generate_forms(spark, sf):
     """Surfaces of lemmas with tags through the inverse lexicon; malformed queries have none."""

@@ -20,6 +20,7 @@ from textlattice.plans.readings_of_tables import CONV, WORDS, draw, draw_sql, ta
 from textlattice.plans.session import shared_folder
 from textlattice.sources import arcs as binary
 from textlattice.sources import conllu, files, tables
+from textlattice.streaming import chunks
 
 QUERIES, ORACLES = {}, {}
 
@@ -533,3 +534,54 @@ def neural_rerank(spark, sf):
     p = tok.select("doc_id", "start", F.when(F.col("k") == 2, F.col("end") + 1000).otherwise(F.col("end")).alias("end"), F.lit(0).alias("ord"), "text", F.col("text").alias("lemma"), F.when(F.col("k") == 0, "VERB").otherwise("ADJ").alias("upos"), F.when(F.col("k") == 0, f("Mood", "Imp")).otherwise(f("Degree", "Cmp")).alias("features"))
     best = C.rerank(r.drop("k"), p).join(tok.select("doc_id", "tok_idx", "k"), ["doc_id", "tok_idx"])
     return best.groupBy("k", "cand_idx").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("score"), F.count(F.when(F.col("is_selected"), 1)).alias("n_selected"))
+
+
+HIDDEN = "".join(c for c in X.PROTECTED if c not in "\0\r")
+
+
+@query(f"""WITH p AS (SELECT page_id, CASE {draw_sql('CAST(page_id AS VARCHAR)', 3)} WHEN 0 THEN chr(57344) || html || chr(57347) ELSE html END AS h, {draw_sql('CAST(page_id AS VARCHAR)', 3)} = 0 AS odd FROM pages),
+c AS (SELECT *, CASE WHEN odd THEN list_aggregate(list_transform(list_filter(range(57344, 57400), lambda i: i <> 57344 AND i <> 57347), lambda i: chr(CAST(i AS INT)))[1:{len(X.PROTECTED)}], 'string_agg', '') ELSE list_aggregate(list_transform(range(57344, {57344 + len(X.PROTECTED)}), lambda i: chr(CAST(i AS INT))), 'string_agg', '') END AS code FROM p)
+SELECT page_id, md5(code) AS code_md5, md5(translate(translate(h, '{HIDDEN}', code), chr(13), code[{len(X.PROTECTED)}])) AS hidden_md5, true AS whole FROM c""")
+def hidden_pages(spark, sf):
+    """Markup of pages behind sentinels, some of which stand in the pages themselves, and back."""
+    odd = draw(F.col("page_id").cast("string"), 3) == 0
+    p = t(spark, sf, "pages").select("page_id", F.when(odd, F.concat(F.lit("\ue000"), "html", F.lit("\ue003"))).otherwise(F.col("html")).alias("h"))
+    p = p.withColumn("x", X.hide(F.col("h")))
+    return p.select("page_id", F.md5(F.col("x.code").cast("binary")).alias("code_md5"), F.md5(F.col("x.text").cast("binary")).alias("hidden_md5"), (X.reveal(F.col("x")) == F.col("h")).alias("whole"))
+
+
+@query(f"""WITH p AS (SELECT page_id, html, {draw_sql('CAST(page_id AS VARCHAR)', 4)} AS k, length(html) // 2 AS mid FROM pages)
+SELECT page_id, CASE WHEN k < 3 THEN 'html: U+' || CASE k WHEN 0 THEN '0001' WHEN 1 THEN '001F' ELSE 'FFFE' END || ' at ' || mid || ' cannot be in XML 1.0' END AS message FROM p""")
+def xml_errors(spark, sf):
+    """Pages with a character in their middle that XML 1.0 forbids, or none."""
+    k, at = draw(F.col("page_id").cast("string"), 4), (F.length("html") / 2).cast("int")
+    odd = F.when(k == 0, "\x01").when(k == 1, "\x1f").when(k == 2, "\ufffe").otherwise("")
+    made = F.concat(F.substring("html", F.lit(1), at), odd, F.substring("html", at + 1, F.length("html")))
+    return t(spark, sf, "pages").select("page_id", X.xml_error(made, "html").alias("message"))
+
+
+@query(f"""WITH c AS (SELECT CAST(conv_id AS VARCHAR) || '-' || turn AS id, text, {draw_sql("conv_id || '-' || turn", 5)} AS k, greatest((strlen(text) + 39) // 40, 1) AS n FROM conversations WHERE text IS NOT NULL)
+SELECT id, CASE k WHEN 1 THEN n - 1 WHEN 2 THEN 0 WHEN 3 THEN n ELSE n END AS n_acknowledged, CASE k WHEN 1 THEN 'error' WHEN 2 THEN 'cancelled' ELSE 'text' END AS outcome, CASE WHEN k NOT IN (1, 2) THEN md5(text) END AS text_md5, CASE k WHEN 3 THEN 1 ELSE 0 END AS n_repeated FROM c""")
+def chunk_stream(spark, sf):
+    """Conversations as a stream of chunks of 40 bytes: of each five one ends in a wrong byte, one is cancelled, one says its first chunk again in a later batch."""
+    raw = F.encode("text", "UTF-8")
+    d = talks(spark, sf).filter("text is not null").select(F.col("doc_id").alias("id"), raw.alias("raw"), draw(F.col("doc_id"), 5).alias("k"))
+    d = d.withColumn("n", F.greatest(F.ceil(F.octet_length("raw") / 40).cast("int"), F.lit(1)))
+    d = d.select("id", "k", "n", "raw", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("chunk_no"))
+    content = F.substring("raw", F.col("chunk_no") * 40 + 1, F.lit(40))
+    last = F.col("chunk_no") == F.col("n") - 1
+    d = d.select("id", "k", "chunk_no", F.when((F.col("k") == 1) & last, F.concat(content, F.lit(b"\xff"))).otherwise(content).alias("content"), last.alias("last"), ((F.col("k") == 2) & (F.col("chunk_no") == 0)).alias("cancel"))
+    path = f"{shared_folder(spark)}/chunks-{uuid.uuid4().hex}"
+    # Chunks of one text go to several files, and so to several batches; what is said again comes last.
+    d.drop("k").repartition(8, F.rand(1)).write.parquet(f"{path}/in")
+    d.filter("k = 3 and chunk_no = 0").drop("k").coalesce(1).write.mode("append").parquet(f"{path}/in")
+    with chunks.with_states(spark):
+        stream = spark.readStream.schema(spark.read.parquet(f"{path}/in").schema).option("maxFilesPerTrigger", 3).parquet(f"{path}/in")
+        run = chunks.join_chunks(stream).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+        run.awaitTermination()
+    e = spark.read.schema(chunks.EVENT).parquet(f"{path}/out")
+    ended = F.when(F.col("event").isin("text", "error", "cancelled"), F.col("event"))
+    n = lambda event: F.count(F.when(F.col("event") == event, 1))
+    gone = n("cancelled") > 0
+    return e.groupBy("id").agg(F.when(gone, 0).otherwise(n("acknowledged")).cast("long").alias("n_acknowledged"), F.max(ended).alias("outcome"), F.md5(F.max("text").cast("binary")).alias("text_md5"),
+                               F.when(gone, 0).otherwise(n("repeated") + n("late")).cast("int").alias("n_repeated"))
