@@ -238,8 +238,9 @@ def line_endings(x: Column) -> Column:
 
 
 def xml_forbidden(x: Column) -> Column:
-    """1-based place of the first character that XML 1.0 forbids, 0 without."""
-    return F.regexp_instr(x, F.lit(r"[^\x{9}\x{a}\x{d}\x{20}-\x{d7ff}\x{e000}-\x{fffd}\x{10000}-\x{10ffff}]"))
+    """1-based place, in code points, of the first character that XML 1.0 forbids, 0 without."""
+    sound = F.length(F.regexp_extract(x, r"^[\x{9}\x{a}\x{d}\x{20}-\x{d7ff}\x{e000}-\x{fffd}\x{10000}-\x{10ffff}]*+", 0))
+    return F.when(x.isNotNull(), F.when(sound < F.length(x), sound + 1).otherwise(0))
 
 
 def xml_error(x: Column, field: str) -> Column:
