@@ -15,8 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-#: UTF-16 units of a text, and of what is made of it.
-MOST_IN, MOST_OUT = 4 << 20, 32 << 20
+#: UTF-16 units of a text.
+MOST_IN = 4 << 20
 STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 EVENT = "id string, event string, chunk_no long, units long, text string, message string"
