@@ -157,3 +157,17 @@ def test_private_use_characters_and_output_bound(spark):
     assert [r.s for r in got] == ["a\ue000|b\\|c\\|d", "x\\", "", "|", "\ue001 \\n"]
     arcs = [(0, 0, "a", "b" * (T.OUTPUT // 2))]
     assert [T.Relation(arcs, [0]).lookup("a" * n)[1] for n in (2, 3)] == ["ok", "output bound"]
+
+
+def test_documents_are_their_tokens_in_order(spark, monkeypatch):
+    """Only distinct surfaces of a row meet their readings; before, every token did, and was gathered again."""
+    e = Engine(spark, spark.createDataFrame([("the", 0, "the<det>"), ("café", 0, "café<n><nom>"), ("café", 1, "café<np>")], "surface string, cand_idx int, raw string"))
+    docs = spark.createDataFrame([(1, "The the café, the café. 12 12"), (None, "a the"), (None, "a the"), (3, ""), (4, None)], "doc_id long, text string")
+    rows = {}
+    for r in e.tokens(docs).collect():
+        rows.setdefault((r.doc_id, r.row_id), []).append((r.tok_idx, r.text, r.start, r.end, r.kind, r.sentence_end, r.normalized, r.selected, r.readings))
+    seen, read = [], lattice.read_tokens
+    monkeypatch.setattr(lattice, "read_tokens", lambda t, *a: (seen.append(t.count()), read(t, *a))[1])
+    out = e.documents(docs)
+    assert sorted((str(r.doc_id), [tuple(t) for t in r.tokens]) for r in out.collect()) == sorted((str(k), sorted(v)) for (k, _), v in rows.items())
+    assert seen == [7 + 3 + 3]
