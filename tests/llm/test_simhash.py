@@ -2,6 +2,7 @@ import random
 
 import xxhash
 
+from textlattice.llm import simhash
 from textlattice.llm.simhash import near_duplicates
 
 
@@ -45,3 +46,15 @@ def test_components_equal_brute_force(spark):
         got = sorted(((r.doc_id, r.fp % (1 << 64), r[3]) for r in near_duplicates(df, d, 4).collect()), key=str)
         assert got == brute(rows, d, 4)
     assert near_duplicates(df.limit(0)).collect() == []
+
+
+def test_the_index_is_not_broadcast(spark, monkeypatch):
+    plans, join = {}, simhash.components
+
+    def seen(edges, folder, tag):
+        plans[tag] = edges._jdf.queryExecution().executedPlan().toString()
+        return join(edges, folder, tag)
+
+    monkeypatch.setattr(simhash, "components", seen)
+    assert near_duplicates(spark.createDataFrame([(1, "a b c d e"), (2, "f g h i j")], "doc_id long, text string")).count() == 2
+    assert "SortMergeJoin" in plans["rest"] and "Broadcast" not in plans["rest"]

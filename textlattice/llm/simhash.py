@@ -101,7 +101,8 @@ def near_duplicates(docs: DataFrame, distance: int = 4, width: int = 4, id_col:
         uniq.join(first, uniq["fp"] == first["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), folder, "known"
     )
     index = known.select("fp", "root", F.explode(variants(F.col("fp"), distance)).alias("key"))
-    a, b = index.alias("a"), index.alias("b")
+    # The planner takes the index for as small as the table it is exploded from and would send all of it through the driver.
+    a, b = index.alias("a"), index.hint("merge").alias("b")
     rest = a.join(
         b,
         (F.col("a.key") == F.col("b.key")) & (F.col("a.root") < F.col("b.root")) & (far(F.col("a.fp"), F.col("b.fp")) <= distance),
