@@ -15,10 +15,10 @@ from textlattice.llm.common import scratch, stored, without
 from textlattice.llm.lines import line_dedup
 from textlattice.llm.mixing import mix
 from textlattice.llm.quality import quality_rules
-from textlattice.llm.shingles import similar_documents
+from textlattice.llm.simhash import near_duplicates
 
-#: Near-duplicates of the pipeline: Jaccard similarity of 0.8 or more of five-word shingles.
-SHINGLE = 5
+#: Near-duplicates of the pipeline, as of op4: SimHash of four-word shingles, links at four bits or fewer.
+SHINGLE, DISTANCE = 4, 4
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +34,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates the document with the smallest id stays."""
-    found = stored(similar_documents(docs, SHINGLE), scratch(spark), "near")
+    """Of each component of SimHash near-duplicates the document with the smallest id stays."""
+    found = stored(near_duplicates(docs, DISTANCE, SHINGLE), scratch(spark), "near")
     return without(docs, found.filter(F.col("doc_id").isNull() & F.col("component").isNotNull() | (F.col("doc_id") != F.col("component"))).select(F.col("doc_id").alias("id"), "tag"))
 
 

@@ -10,6 +10,7 @@ from textlattice.llm.quality import quality_rules
 
 from .test_lines import brute as brute_lines
 from .test_quality import brute as brute_stats
+from .test_simhash import brute as brute_near
 
 
 def corpus():
@@ -87,6 +88,23 @@ def test_line_stage_equals_brute_force(spark):
     assert all(r.n_chars == len(r.text) for r in got.collect() if r.text is not None)
 
 
+def test_near_stage_is_simhash(spark):
+    rows = corpus()[:40] + corpus()[260:]
+    # Two words in a hundred: five-word shingle sets of similarity 0.8 or more, fingerprints more than four bits apart.
+    pick = random.Random(5)
+    for i in range(8):
+        words = [f"v{pick.randrange(5000)}" for _ in range(104)]
+        near = ["new" if k in (30, 70) else w for k, w in enumerate(words)]
+        rows += [(900 + 2 * i + k, " ".join(w), "en", "s0", 0) for k, w in enumerate((words, near))]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = CP.near_stage(spark, docs, "")
+    component = {k: c for k, _, c in brute_near([r[:2] for r in rows], 4, 4)}
+    want = {r[0] for r in rows if component[r[0]] is None or component[r[0]] == r[0]}
+    assert got.columns == docs.columns
+    assert {r.doc_id for r in got.collect()} == want and len(want) < len(rows) - 8
+    assert sum(900 + 2 * i + 1 in want for i in range(8)) >= 4
+
+
 def test_mixing_stage(spark):
     rows = corpus()
     docs = spark.createDataFrame(rows, SCHEMA)
